@@ -344,11 +344,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     met = sent.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda it: _runs(it, hot), "k long, h long, total long")
     wanted = met.groupBy("k").agg(F.collect_list("h").alias("hashes"), F.collect_list("total").alias("totals"))
     joined = rows.join(wanted.withColumnRenamed("k", "wanted_k"), F.col("k") == F.col("wanted_k"), "left")
-    suffixes = joined.where("hashes is not null").select("k", "text", "row", "hashes", "totals").mapInArrow(
+    # Both joins with the texts read the same columns and drop no row, so Spark deals the texts once.
+    suffixes = joined.select("k", "text", "row", "hashes", "totals", "doc_id").mapInArrow(
         lambda it: _suffix_rows(it, length, gram, hot), "h long, content binary, at int, k long, row long, starts binary"
     )
     dealt = suffixes.repartition(parts, "h").sortWithinPartitions("h", "content", "at")
     spans = dealt.mapInArrow(lambda it: _compare(it, length), "k long, row long, start long, stop long")
     per_doc = spans.groupBy("k").agg(F.collect_list(F.struct("row", "start", "stop")).alias("spans")).withColumnRenamed("k", "spans_k")
-    final = rows.join(per_doc, F.col("k") == F.col("spans_k"), "left").select("doc_id", "text", "row", "spans")
+    final = rows.join(per_doc, F.col("k") == F.col("spans_k"), "left").select("doc_id", "text", "row", "spans", "k")
     return final.mapInArrow(lambda it: _cut(it, with_text), _RESULT + (", kept binary" if with_text else ""))
