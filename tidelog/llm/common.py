@@ -43,7 +43,17 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm.System.gc()  # lets Spark's cleaner delete shuffle files of lineage that has been cut
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidelog_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.tidelog_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:

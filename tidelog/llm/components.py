@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select("u", "v").where("u <> v").distinct())
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)))
+        before, now = now, materialize(_small_star(_large_star(now)))
+        discard(before)
         # A fixpoint is a forest of stars: order-free fingerprint of the edge set.
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         mark = tuple(got)

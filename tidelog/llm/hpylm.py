@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_text, materialize, parallelism
+from .common import chunks, discard, id_and_text, materialize, parallelism
 from .wordbytes import mix
 
 BURN_IN, SAMPLES = 2, 3
@@ -413,7 +413,10 @@ def _round(vocab: DataFrame, pairs: np.ndarray, totals: Totals, seed: int, keep:
     state = vocab.select(F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "part", *blobs)
     answers = told.where("part >= 0").select("bucket", F.col("values").alias("answer"), "part", *[F.lit(None).cast("binary").alias(c) for c in blobs])
     met = state.unionByName(answers).repartition(deal, "part").sortWithinPartitions("part", "bucket")
-    return materialize(met.mapInArrow(lambda it: _reseat(it, deal, totals, seed, keep), _VOCAB)), customers
+    seated = materialize(met.mapInArrow(lambda it: _reseat(it, deal, totals, seed, keep), _VOCAB))
+    discard(told)
+    discard(vocab)
+    return seated, customers
 
 
 def train(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, Totals]:
