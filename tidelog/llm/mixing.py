@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SEED = "mix-1"
 
 
@@ -65,7 +67,8 @@ def poisson_mix(
     docs: DataFrame, weights: dict | None = None, target_rows: int | None = None, key: str = "source", seed: str = SEED
 ) -> DataFrame:
     """``docs`` with each row repeated, plus ``copy`` (from 1) and ``shuffle_key``."""
-    rates = source_rates(docs, weights, target_rows, key).select("mix_source", "mix_steps")
+    # Written first, so that Spark knows its size and broadcasts it only if it is small.
+    rates = materialize(source_rates(docs, weights, target_rows, key).select("mix_source", "mix_steps"))
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(*names)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
