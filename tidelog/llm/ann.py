@@ -11,7 +11,7 @@ inner products in double precision.
 
 A part is dealt in blocks of at most ``BLOCK`` vectors and queries in blocks too, so
 equal vectors, however many, never meet in one task. Each block returns a query's
-best k; a ranked window over those makes the result. The model (a few thousand
+best k as one packed row; those of a query are merged where they meet. The model (a few thousand
 numbers per part) is the only thing broadcast.
 
 Defined cases: vectors that are null, zero, of another dimension than most of the
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, parallelism
 
 MAX_FIT = 8192
 PART_ROWS = 1500
@@ -162,7 +162,6 @@ def search(
     table: DataFrame, query_where: F.Column, k: int = K, mass: float = MASS, min_probes: int = MIN_PROBES, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for every query row."""
-    out_schema = "query_id long, vec_id long, score double"
     vectors = clean(table, id_col, vector)
     rows = vectors.count()
     model = fit(vectors, rows)
@@ -202,30 +201,59 @@ def search(
     queries = asked.mapInArrow(ask, "query_id long, q binary, part int, block int")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})
-        right = right.sort_values("vec_id", kind="stable")
-        ids = right.vec_id.to_numpy()
-        x = np.stack([np.frombuffer(b, np.float64) for b in right.v])
+        """The k best of a block for each query, one packed row per query."""
         out = []
-        for at in range(0, len(left), 256):
-            part = left.iloc[at : at + 256]
-            q = np.stack([np.frombuffer(b, np.float64) for b in part.q])
-            rough = q @ x.T
-            for i, qid in enumerate(part.query_id.tolist()):
-                score = rough[i]
-                score[ids == qid] = -np.inf
-                least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                near = np.flatnonzero((score >= least - 1e-9 * (1 + abs(least))) & (score > -np.inf)) if least > -np.inf else np.flatnonzero(score > -np.inf)
-                exact = (x[near] * q[i]).sum(1)  # equal vectors get equal scores
-                best = np.argsort(-exact, kind="stable")[:k]
-                out.append((np.full(len(best), qid), ids[near[best]], exact[best]))
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    met = queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInPandas(meet, out_schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if len(left) and len(right):
+            right = right.sort_values("vec_id", kind="stable")
+            ids = right.vec_id.to_numpy()
+            x = np.stack([np.frombuffer(b, np.float64) for b in right.v])
+            for at in range(0, len(left), 256):
+                part = left.iloc[at : at + 256]
+                q = np.stack([np.frombuffer(b, np.float64) for b in part.q])
+                rough = q @ x.T
+                for i, qid in enumerate(part.query_id.tolist()):
+                    score = rough[i]
+                    score[ids == qid] = -np.inf
+                    least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+                    near = np.flatnonzero((score >= least - 1e-9 * (1 + abs(least))) & (score > -np.inf)) if least > -np.inf else np.flatnonzero(score > -np.inf)
+                    exact = (x[near] * q[i]).sum(1)  # equal vectors get equal scores
+                    best = np.argsort(-exact, kind="stable")[:k]
+                    out.append((qid, ids[near[best]].tobytes(), exact[best].tobytes()))
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by query -> its k best, ties to the smaller vec_id."""
+        out: list = []
+
+        def close(qid: int, held: list) -> None:
+            ids = np.concatenate([np.frombuffer(a, np.int64) for a, _ in held])
+            scores = np.concatenate([np.frombuffer(b, np.float64) for _, b in held])
+            best = np.lexsort((ids, -scores))[:k]
+            out.append((np.full(len(best), qid), np.arange(1, len(best) + 1, dtype=np.int32), ids[best], scores[best]))
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["query_id", "rank", "vec_id", "score"])
+
+        now, held = None, []
+        for batch in batches:
+            for qid, ids, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if qid != now:
+                    if held:
+                        close(now, held)
+                    now, held = qid, []
+                held.append((ids, scores))
+            if out:
+                yield flush()
+        if held:
+            close(now, held)
+        if out:
+            yield flush()
+
+    met = queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInPandas(meet, "query_id long, ids binary, scores binary")
+    dealt = met.repartition(parallelism(spark), "query_id").sortWithinPartitions("query_id")
+    return dealt.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def ann_query(embeddings: DataFrame) -> DataFrame:
