@@ -42,7 +42,8 @@ def _in_files(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
     return log(spark, sf_dir).withColumn("file_id", F.expr(f"seq div {size}"))
 
 
-_SECONDS = F.expr("us div 1000000")
+def _seconds():
+    return F.expr("us div 1000000")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +155,7 @@ def q_history(spark, d):
 
 @_query(_LOG + "SELECT file_id, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key, max(us // 1000000) AS window_start, max(us // 1000000) AS window_end FROM files GROUP BY file_id")
 def q_flush_manifest(spark, d):
-    return files.manifest(_in_files(spark, d), _SECONDS)
+    return files.manifest(_in_files(spark, d), _seconds())
 
 
 @_query(_LOG + "SELECT file_id, min(seq) AS low, max(seq) AS high FROM files GROUP BY file_id HAVING min(seq) <= 742 AND max(seq) >= 742")
@@ -168,12 +169,12 @@ SELECT key, seq, file_id FROM files JOIN m USING (file_id)
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY file_id % 4, window_start DESC, file_id DESC, seq DESC) = 1""")
 def q_get_file_priority(spark, d):
     rows = _in_files(spark, d)
-    starts = rows.groupBy("file_id").agg(F.max(_SECONDS).alias("window_start"))
+    starts = rows.groupBy("file_id").agg(F.max(_seconds()).alias("window_start"))
     return state.first_hit(rows.join(starts, "file_id").withColumn("tier", F.expr("file_id % 4"))).select("key", "seq", "file_id")
 
 
 def _candidates(spark, d, tier):
-    fine = _in_files(spark, d, 4).groupBy("file_id").agg(F.max(_SECONDS).alias("window_start"))
+    fine = _in_files(spark, d, 4).groupBy("file_id").agg(F.max(_seconds()).alias("window_start"))
     return files.merge_candidates(fine, tier).select("bucket", "n", F.element_at("file_ids", 1).alias("first_id"), F.element_at("file_ids", -1).alias("last_id"))
 
 
@@ -202,11 +203,11 @@ SELECT min(w) AS window_start, max(w) AS window_end, 1 AS tier, min(a) AS min_ke
 
 @_query(_LOG + _META)
 def q_compact_meta(spark, d):
-    return files.merged_meta(files.manifest(_in_files(spark, d).where("file_id < 5"), _SECONDS).withColumn("tier", F.lit(L0)))
+    return files.merged_meta(files.manifest(_in_files(spark, d).where("file_id < 5"), _seconds()).withColumn("tier", F.lit(L0)))
 
 
 def _sized(spark, d):
-    rows = _in_files(spark, d).groupBy("file_id").agg(F.max(_SECONDS).alias("window_start"), F.sum(F.octet_length("value")).alias("size_bytes"))
+    rows = _in_files(spark, d).groupBy("file_id").agg(F.max(_seconds()).alias("window_start"), F.sum(F.octet_length("value")).alias("size_bytes"))
     return rows.withColumn("tier", F.expr("cast(file_id % 4 as int)"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import Codec, Policy
 
@@ -48,13 +49,13 @@ def bit_width(largest: Column) -> Column:
     return F.when(largest <= 0xFF, 8).when(largest <= 0xFFFF, 16).when(largest <= 0xFFFFFFFF, 32).otherwise(64)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def bit_pack(values: pd.Series) -> pd.Series:
     """Little-endian u64 series -> width byte, two first values, packed second differences."""
     return values.map(pack_bytes)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def bit_unpack(values: pd.Series) -> pd.Series:
     return values.map(unpack_bytes)
 
