@@ -82,13 +82,15 @@ def features(text: bytes) -> np.ndarray:
     return out
 
 
-def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Log-tf x idf blocks of unit length each, side by side (zero blocks stay zero)."""
-    x = np.log1p(counts) * idf
-    x[:, _PAIRS + _WORDS :] = counts[:, _PAIRS + _WORDS :] * _TAIL_WEIGHT
+def weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Counts to log-tf x idf blocks of unit length each, side by side, in place (zero blocks stay zero)."""
+    tail = x[:, _PAIRS + _WORDS :] * _TAIL_WEIGHT
+    np.log1p(x, out=x)
+    x *= idf
+    x[:, _PAIRS + _WORDS :] = tail
     for block, weight in ((slice(0, _PAIRS), 0.5), (slice(_PAIRS, _PAIRS + _WORDS), 0.5), (slice(_PAIRS + _WORDS, None), 1.0)):
-        norm = np.linalg.norm(x[:, block], axis=1, keepdims=True)
-        x[:, block] *= weight / np.maximum(norm, 1e-12)
+        part = x[:, block]
+        part *= weight / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-12)[:, None]
     return x
 
 
@@ -123,13 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, rank: int =
             found = [np.minimum(features(x.as_py()), 65535).astype("<u2").tobytes() for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "f", "label"])
 
-    got = sorted(sample.mapInArrow(count, "doc_id long, f binary, label int").toLocalIterator(), key=lambda r: r.doc_id)
-    if not got:
+    # One matrix of max_fit x WIDTH floats on the driver, filled row by row.
+    x, y, ids = np.zeros((max_fit, WIDTH), np.float32), np.zeros(max_fit, np.float32), []
+    for r in sample.mapInArrow(count, "doc_id long, f binary, label int").toLocalIterator():
+        x[len(ids)], y[len(ids)] = np.frombuffer(r.f, "<u2"), r.label
+        ids.append(r.doc_id)
+    n = len(ids)
+    if not n:
         return {"prior": 0.5, "vectors": None}
-    y = np.array([r.label for r in got], np.float32)
-    x = np.stack([np.frombuffer(r.f, "<u2") for r in got]).astype(np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = weigh(x, idf)
+    x, y = x[:n], y[:n]
+    idf = np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+    weigh(x, idf)
     k = min(rank, *x.shape)
     # Truncated SVD by subspace iteration with a fixed start.
     q = np.random.default_rng(7).standard_normal((x.shape[1], k + 8)).astype(np.float32)
