@@ -186,6 +186,10 @@ def test_secrets():
     assert (4, 4 + len(layer), "assign") in spans and layers >= 2 and not cut
     escaped = "".join(f"\\u{ord(c):04x}" for c in "secret=swordfish")
     assert secret_scan.worklist(f"x {escaped} y")[0] == [(2, 2 + len(escaped), "assign")]
+    bomb = base64.b64encode(gzip.compress(b"a" * (secret_scan.MAX_INFLATED + 9), 9)).decode()
+    assert secret_scan.worklist(f"{bomb} x {escaped}")[::2] == ([(len(bomb) + 3, len(bomb) + 3 + len(escaped), "assign")], True)
+    long = "ab=" * 100_000
+    assert [x[:2] for x in secret_scan.regions(f"{long} {long}%41 {long}\\u0041")][:2] == [(300_001, 600_004), (600_005, 900_011)]
     assert secret_scan.scan("token=abc token=ſecretx toKen:abcdef") == [(24, 36, "assign")]
 
 
