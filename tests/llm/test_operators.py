@@ -59,6 +59,11 @@ def test_surrogates(spark):
     assert name[1] in pii.GIVEN["f", "latin"] and name[1] != "Mary" and name[4] in pii.GIVEN["f", "cyrillic"] and name[5].endswith("ова") and "Schmidt" not in got[3].text
 
 
+def test_long_address_is_one_match(spark):
+    found = spark.createDataFrame([("to a@b" + ".cd" * 20_000,)], "text string").select(F.regexp_extract_all("text", F.lit(pii.ENTITY), F.lit(0)).alias("m")).first().m
+    assert [len(m) for m in found] == [60_003]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [("ip", f"9.9.{i // 250}.{i % 250}") for i in range(3000)] + [("card", f"41{i:02d}") for i in range(20)]
     table = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()

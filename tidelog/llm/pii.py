@@ -54,7 +54,7 @@ SYLLABLES = {
 
 _NAMES = [n for pool in GIVEN.values() for n in pool]
 _CAPITALISED = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 _CARD = r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)"
@@ -62,6 +62,7 @@ _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _GIVEN = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(_NAMES)})(?!\p{{L}})"
 _FAMILY = rf"(?<= )(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(x.replace('.', '[.]') for x in [*_NAMES, *TITLES])}) ){_CAPITALISED}"
+# Possessive groups loop without recursion, so a long address can't overflow the stack.
 # Cheap looks at one character come before each costly alternative.
 _NUMERIC = rf"(?=[\d+(])(?:{'|'.join((_SSN, _PHONE, _CARD, _IP))})"
 _NAMED = rf"(?=\p{{Lu}})(?:{'|'.join((_FAMILY, _GIVEN))})"
