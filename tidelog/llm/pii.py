@@ -24,6 +24,7 @@ alike; other columns of the input are not read; an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from .common import materialize
 KEY = "surrogate-key-1"
 #: Rounds of the collision check; each redraws only what collided.
 MAX_ROUNDS = 40
+#: Characters of an entity that one digest serves, a byte each.
+BLOCK = 60
 
 # Common given names by gender and script.
 GIVEN = {
@@ -109,18 +112,17 @@ def _luhn(digits: Column, odd_doubled: int) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, v: a + v - F.when(v > 9, 9).otherwise(0))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; a lambda computes what it captures for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def draw(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate's canonical form for one attempt."""
     size = F.length(canon)
-    stream = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.floor(size / 60).cast("int")),
-            lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"), b.cast("string")), 512),
-        ),
-        "",
-    )
-    byte = lambda i: F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    pick = lambda letters, i: F.substring(F.lit(letters), byte(i) % len(letters) + 1, F.lit(1))
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512)
+    hex_byte = lambda digest, i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    byte = lambda i: hex_byte(seed, i)
     top = F.when(kind == "email", F.length(F.regexp_extract(canon, r"\.[^.]*$", 0))).otherwise(0)
     kept = (
         F.when(kind == "phone", F.when(canon.rlike(r"^\+[17]"), 2).when(canon.startswith("+"), 3).otherwise(0))
@@ -129,17 +131,25 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column
         .otherwise(0)
     )
 
-    def char(i: Column) -> Column:
-        c = F.substring(canon, i + 1, F.lit(1))
+    def block(whole: Column, b: Column) -> Column:
+        # Bound once for the block: its characters, and a digest with a byte for each.
+        part = F.struct(F.substring(whole["canon"], b * BLOCK + 1, F.lit(BLOCK)).alias("chars"), F.sha2(F.concat_ws("|", whole["seed"], b.cast("string")), 512).alias("digest"))
+        return _let(part, lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.length(p["chars"]) - 1), lambda k: char(whole, p, b * BLOCK + k, k)), ""))
+
+    def char(whole: Column, p: Column, i: Column, k: Column) -> Column:
+        c = F.substring(p["chars"], k + 1, F.lit(1))
+        pick = lambda letters: F.substring(F.lit(letters), hex_byte(p["digest"], k) % len(letters) + 1, F.lit(1))
         return (
-            F.when((i < kept) | (i >= size - top), c)
-            .when(c.rlike("[0-9]"), pick("0123456789", i))
-            .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", i))
-            .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
+            F.when((i < whole["kept"]) | (i >= whole["end"]), c)
+            .when(c.rlike("[0-9]"), pick("0123456789"))
+            .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
+            .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .otherwise(c)
         )
 
-    spelled = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), char), "")
+    known = F.struct(canon.alias("canon"), seed.alias("seed"), kept.alias("kept"), (size - top).alias("end"))
+    blocks = F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))
+    spelled = _let(known, lambda w: F.array_join(F.transform(blocks, lambda b: block(w, b)), ""))
     body = F.substring(spelled, F.lit(1), size - 1)
     check = (F.lit(10) - _luhn(body, 0) % 10) % 10
     valid = _luhn(canon, 1) % 10 == 0
