@@ -225,6 +225,45 @@ def test_simhash_matches_brute_force(spark):
     assert got == {i: (fps[i], low[i]) for i in fps}
 
 
+def test_forest_joins_all_in_radius():
+    rng = np.random.default_rng(2)
+    centres = [int.from_bytes(rng.bytes(32), "little") for _ in range(6)]
+    values = list({c ^ sum(1 << int(b) for b in set(rng.integers(0, 256, rng.integers(0, 40)))) for c in centres for _ in range(60)})
+    root = list(range(len(values)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in simhash.shard_forest(values, 46):
+        assert (values[i] ^ values[j]).bit_count() <= 46 and find(i) != find(j)
+        root[find(i)] = find(j)
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            assert (a ^ b).bit_count() > 46 or find(i) == find(j)
+
+
+@pytest.mark.parametrize("shard_rows", [2000, 5])
+def test_similar_documents_keep_one(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    rng = np.random.default_rng(3)
+    texts, group = [], {}
+    for g in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for k in range(1 + g % 10):
+            edited = list(words)
+            if k:
+                edited[int(rng.integers(0, 200))] = f"edit{k}"  # two copies share 0.9 of their shingles
+            group[len(texts)] = g
+            texts.append((len(texts), " ".join(edited)))
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, texts)).collect()}
+    assert kept == {min(i for i in group if group[i] == g) for g in group.values()}
+    edges = simhash.keep_one(docs_of(spark, EDGE))
+    assert sorted((r.doc_id or 0) for r in edges.select("doc_id").collect()) == [0, 1, 3, 4]
+    assert edges.columns == docs_of(spark, EDGE).columns and simhash.keep_one(docs_of(spark, EDGE[:0])).count() == 0
+
+
 def test_large_shards_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 5)
     rng = np.random.default_rng(1)

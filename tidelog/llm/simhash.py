@@ -14,6 +14,9 @@ bound. Shards with over ``SHARD_ROWS`` fingerprints are split again by blocks of
 remaining bits, which again loses no link. Of a shard's links only those that join
 two of its components are emitted: as many as fingerprints at most.
 
+``keep_one``, the pipeline's stage, takes word 5-shingles and a Jaccard similarity of
+0.8; see ``similar_duplicates``. There too the cases below hold.
+
 Defined cases: null text is empty; without words the fingerprint is zero, and is
 linked like any other; fewer words than a shingle give one shingle of them all; rows
 that share a doc_id get one row each, with the same component; a null doc_id takes
@@ -22,6 +25,7 @@ part, and is never the smallest; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +42,20 @@ SEED = 42
 BITS = 64
 #: Fingerprints in a shard before it is split by further blocks.
 SHARD_ROWS = 2000
+#: Wide fingerprints: words of 64 bits; bands of MinHash values that shard them, and values in a band.
+LANES, BANDS, BAND_ROWS = 4, 12, 4
+#: Standard deviations that the radius of a similarity is widened by.
+SLACK = 1.2
+# Odd multipliers and an increment that mix a hash into the next lane's.
+MIX = np.array([0x9E3779B97F4A7C15, 0x632BE59BD9B4E019, 0xD6E8FEB86659FD93], np.uint64)
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The SimHash of one text, as an unsigned integer."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; none without words."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -53,12 +64,21 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), "<u8", len(starts))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), "<u8", len(starts))
+
+
+def majority_bits(hashes: np.ndarray) -> bytes:
+    """64 bits, little-endian: a bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The SimHash of one text, as an unsigned integer."""
+    return int.from_bytes(majority_bits(shingle_hashes(text, words)), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -183,11 +203,9 @@ def _signed(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"u": table[:, 0], "v": table[:, 1]})
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
-    rows = materialize(fingerprints(docs, words))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = components(links(classes, radius))
+def _named(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp), classes (fp, low) and links between fps."""
+    joined = components(pairs)
     named = joined.join(classes, F.col("node") == F.col("fp")).select("component", "node", "low")
     heads = joined.select(F.col("component").alias("node"), "component").distinct().join(classes, F.col("node") == F.col("fp")).select("component", "node", "low")
     named = named.unionByName(heads)
@@ -198,13 +216,140 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return rows.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
+    rows = materialize(fingerprints(docs, words))
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    return _named(rows, classes, links(classes, radius))
+
+
 def simhash_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, list[int]]:
+    """The SimHash of ``64 * LANES`` bits, and a shard key for each band of MinHash values."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return bytes(8 * LANES), [-1 - b for b in range(BANDS)]
+    lanes = [hashes]
+    for _ in range(LANES - 1):
+        mixed = lanes[-1] * MIX[0] + MIX[1]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= MIX[2]
+        lanes.append(mixed ^ (mixed >> np.uint64(32)))
+    least = np.array([(hashes * m).min() for m in _MULTIPLIERS], "<u8").reshape(BANDS, -1)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least)]
+    return b"".join(map(majority_bits, lanes)), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, fp, bands): one row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in chunks(batches):
+            found = [wide_fingerprint(t, words) for t in texts]
+            columns = [pa.array(ids, pa.int64()), pa.array([f for f, _ in found], pa.binary()), pa.array([b for _, b in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, fp binary, bands array<long>")
+
+
+def shard_forest(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Indexes of links that join a shard's components, by a BK-tree.
+
+    A subtree known to lie in one component is left out once the query is part of it,
+    so a large group of near copies costs about one comparison a member.
+    """
+    children: list[dict[int, int]] = []
+    root, label, links = list(range(len(values))), list(range(len(values))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, value in enumerate(values):
+        todo = [0] if i else []
+        while todo:
+            at = todo.pop()
+            far = (values[at] ^ value).bit_count()
+            if far <= radius and find(at) != find(i):
+                root[find(i)] = find(at)
+                links.append((i, at))
+            mine = find(i)
+            for k, child in children[at].items():
+                if far - radius <= k <= far + radius and (label[child] < 0 or find(label[child]) != mine):
+                    todo.append(child)
+        children.append({})
+        at, mine = 0, find(i)
+        while at != i:
+            if label[at] >= 0 and find(label[at]) != mine:
+                label[at] = -1
+            at = children[at].setdefault((values[at] ^ value).bit_count(), i)
+    return links
+
+
+def similar_links(rows: DataFrame, radius: int) -> DataFrame:
+    """(u, v) fingerprints within ``radius`` bits that share a shard, enough to connect all such.
+
+    A shard is a band; one of over ``SHARD_ROWS`` fingerprints is split by the next three bands.
+    """
+    shifted = F.posexplode("bands")
+    ring = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.element_at("bands", (F.col("pos") + k) % BANDS + 1))
+    keyed = materialize(rows.select("fp", "bands", shifted).select("fp", F.col("col").alias("band"), ring.alias("finer")).distinct())
+    large = keyed.groupBy("band").count().where(F.col("count") > SHARD_ROWS).select("band", F.lit(True).alias("large"))
+    subs = F.when(F.col("large"), F.col("finer")).otherwise(F.array(F.lit(0).cast("long")))
+    shards = keyed.join(large, "band", "left").select("band", F.explode(subs).alias("sub"), "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(fps: list[bytes]) -> list[tuple[bytes, bytes]]:
+            return [(fps[i], fps[j]) for i, j in shard_forest([int.from_bytes(f, "little") for f in fps], radius)] if len(fps) > 1 else []
+
+        # Rows arrive sorted by shard, so one shard is held at a time.
+        held_key, held = None, []
+        for batch in batches:
+            out = []
+            for band, sub, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, sub) != held_key:
+                    out += forest(held)
+                    held_key, held = (band, sub), []
+                if not held or held[-1] != fp:
+                    held.append(fp)
+            yield _pairs(out)
+        yield _pairs(forest(held))
+
+    dealt = shards.repartition(parallelism(rows.sparkSession), "band", "sub").sortWithinPartitions("band", "sub", "fp")
+    return dealt.mapInArrow(run, "u binary, v binary").distinct()
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+
+def similarity_radius(similarity: float) -> int:
+    """Bits that wide fingerprints of that Jaccard similarity differ in, and SLACK more for chance."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
+    return round(64 * LANES * share + SLACK * math.sqrt(64 * LANES * share * (1 - share)))
+
+
+def similar_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) with links between texts whose shingle sets are that similar.
+
+    At a similarity of 0.8 fingerprints differ in 15 % of their bits, where blocks of
+    bits shard nothing. So the shards are bands of MinHash values, each with a BK-tree
+    of wide fingerprints, and the radius is the distance expected at ``similarity``.
+    """
+    rows = materialize(wide_fingerprints(docs, words))
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    return _named(rows.select("doc_id", "fp"), classes, similar_links(rows, similarity_radius(similarity)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group: the smallest doc_id, of equal ids one row."""
-    found = near_duplicates(docs, words, radius)
+    found = similar_duplicates(docs, words, similarity)
     kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
