@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_text
+from .common import chunks, discard, id_and_text, materialize
 
 MAX_FIT = 6000
 RANK = 64
@@ -125,11 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, rank: int =
             found = [np.minimum(features(x.as_py()), 65535).astype("<u2").tobytes() for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "f", "label"])
 
+    # Counted by all tasks at once; an iterator over the lazy plan would run them one after another.
+    counted = materialize(sample.mapInArrow(count, "doc_id long, f binary, label int"))
     # One matrix of max_fit x WIDTH floats on the driver, filled row by row.
     x, y, ids = np.zeros((max_fit, WIDTH), np.float32), np.zeros(max_fit, np.float32), []
-    for r in sample.mapInArrow(count, "doc_id long, f binary, label int").toLocalIterator():
+    for r in counted.toLocalIterator():
         x[len(ids)], y[len(ids)] = np.frombuffer(r.f, "<u2"), r.label
         ids.append(r.doc_id)
+    discard(counted)
     n = len(ids)
     if not n:
         return {"prior": 0.5, "vectors": None}
