@@ -264,6 +264,27 @@ def test_similar_documents_keep_one(spark, monkeypatch, shard_rows):
     assert edges.columns == docs_of(spark, EDGE).columns and simhash.keep_one(docs_of(spark, EDGE[:0])).count() == 0
 
 
+def test_copies_are_judged_by_their_sets(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for k in (5, 10, 20, 40):  # a line repeated in one copy only: equal or nearly equal sets
+        body, line = word(300), word(20)
+        texts += [(len(texts), " ".join(body + line)), (len(texts) + 1, " ".join(body + line * k))]
+    sets = lambda t: set(simhash.shingle_hashes(t.encode(), 5).tolist())
+    jaccard = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    assert all(jaccard(texts[i][1], texts[i + 1][1]) > 0.9 for i in range(0, 8, 2))
+    below = []  # fingerprints as near as those of 0.8 often are, but less similar
+    while len(below) < 20:
+        body = word(200)
+        other = body[:171] + word(29)
+        one, two = " ".join(body), " ".join(other)
+        assert 0.7 < jaccard(one, two) < 0.8
+        below += [(100 + len(below), one), (101 + len(below), two)]
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, texts + below)).collect()}
+    assert kept == {0, 2, 4, 6} | {i for i, _ in below}
+
+
 def test_large_shards_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 5)
     rng = np.random.default_rng(1)

@@ -15,7 +15,7 @@ remaining bits, which again loses no link. Of a shard's links only those that jo
 two of its components are emitted: as many as fingerprints at most.
 
 ``keep_one``, the pipeline's stage, takes word 5-shingles and a Jaccard similarity of
-0.8; see ``similar_duplicates``. There too the cases below hold.
+0.8; see ``similar_keepers``. There too the cases below hold.
 
 Defined cases: null text is empty; without words the fingerprint is zero, and is
 linked like any other; fewer words than a shingle give one shingle of them all; rows
@@ -26,13 +26,13 @@ part, and is never the smallest; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, id_and_text, materialize, parallelism
@@ -44,8 +44,10 @@ BITS = 64
 SHARD_ROWS = 2000
 #: Wide fingerprints: words of 64 bits; bands of MinHash values that shard them, and values in a band.
 LANES, BANDS, BAND_ROWS = 4, 12, 4
-#: Standard deviations that the radius of a similarity is widened by.
-SLACK = 1.2
+#: Shingles of the texts compared in one task.
+SHARD_SHINGLES = 4_000_000
+#: Standard deviations that the radius of a similarity is widened by; small sets, where majorities tie, need over 4.
+SLACK = 5.5
 # Odd multipliers and an increment that mix a hash into the next lane's.
 MIX = np.array([0x9E3779B97F4A7C15, 0x632BE59BD9B4E019, 0xD6E8FEB86659FD93], np.uint64)
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -203,8 +205,8 @@ def _signed(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"u": table[:, 0], "v": table[:, 1]})
 
 
-def _named(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of rows (doc_id, fp), classes (fp, low) and links between fps."""
+def _lowest(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, component_id) of classes (fp, low) and links between fps."""
     joined = components(pairs)
     named = joined.join(classes, F.col("node") == F.col("fp")).select("component", "node", "low")
     heads = joined.select(F.col("component").alias("node"), "component").distinct().join(classes, F.col("node") == F.col("fp")).select("component", "node", "low")
@@ -212,47 +214,59 @@ def _named(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     # A component may hold very many classes: smallest id by aggregation, then a plain join back.
     least = named.groupBy("component").agg(F.min("low").alias("least"))
     moved = named.select("component", F.col("node").alias("fp")).join(least, "component").select("fp", "least")
-    final = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+    return classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
     rows = materialize(fingerprints(docs, words))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    return _named(rows, classes, links(classes, radius))
+    return rows.join(_lowest(classes, links(classes, radius)), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, list[int]]:
-    """The SimHash of ``64 * LANES`` bits, and a shard key for each band of MinHash values."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return bytes(8 * LANES), [-1 - b for b in range(BANDS)]
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """The SimHash of ``64 * LANES`` bits of a set of shingles."""
     lanes = [hashes]
     for _ in range(LANES - 1):
         mixed = lanes[-1] * MIX[0] + MIX[1]
         mixed ^= mixed >> np.uint64(29)
         mixed *= MIX[2]
         lanes.append(mixed ^ (mixed >> np.uint64(32)))
+    return b"".join(map(majority_bits, lanes))
+
+
+def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, int, bytes, list[int]]:
+    """Of a text's set of shingles: a digest, its size, the SimHash of ``64 * LANES`` bits, and a shard key for each band of MinHash values."""
+    hashes = np.unique(shingle_hashes(text, words))
+    name = xxhash.xxh3_128_digest(hashes.tobytes())
+    if not len(hashes):
+        return name, 0, wide_bits(hashes), [-1 - b for b in range(BANDS)]
     least = np.array([(hashes * m).min() for m in _MULTIPLIERS], "<u8").reshape(BANDS, -1)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least)]
-    return b"".join(map(majority_bits, lanes)), np.array(keys, np.uint64).view(np.int64).tolist()
+    return name, len(hashes), wide_bits(hashes), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _text_hash() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, fp, bands): one row per document."""
+    """(row, name, size, fp, bands): one row per document; row is (no_id, doc_id, text_hash)."""
+    kind = pa.struct([("no_id", pa.bool_()), ("doc_id", pa.int64()), ("text_hash", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            found = [wide_fingerprint(t, words) for t in texts]
-            columns = [pa.array(ids, pa.int64()), pa.array([f for f, _ in found], pa.binary()), pa.array([b for _, b in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands"])
+        for rows, texts in chunks(batches):
+            found = list(zip(*(wide_fingerprint(t, words) for t in texts), strict=True))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, kind), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], names=["row", "name", "size", "fp", "bands"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp binary, bands array<long>")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    keyed = id_and_text(docs, _text_hash().alias("text_hash")).select(row.alias("row"), "text")
+    return keyed.mapInArrow(run, "row struct<no_id:boolean,doc_id:long,text_hash:binary>, name binary, size long, fp binary, bands array<long>")
 
 
 def shard_forest(values: list[int], radius: int) -> list[tuple[int, int]]:
@@ -291,37 +305,100 @@ def shard_forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def similar_links(rows: DataFrame, radius: int) -> DataFrame:
-    """(u, v) fingerprints within ``radius`` bits that share a shard, enough to connect all such.
+def _dealt(parts: Column, name: Column) -> Column:
+    """Pairs of blocks that one of ``parts`` blocks goes to: any two rows meet in at least one pair."""
+    block = F.pmod(F.xxhash64(name), parts)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: k != block)
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, block).alias("a"), F.greatest(k, block).alias("b")))
+    return F.when(parts > 1, pairs).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
+
+
+def _parts(share: Column) -> Column:
+    """Blocks for a group: two of them make a share of 1 at most."""
+    return F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("long")
 
-    A shard is a band; one of over ``SHARD_ROWS`` fingerprints is split by the next three bands.
+
+def similar_links(classes: DataFrame, radius: int) -> DataFrame:
+    """(u, v) names of fingerprints within ``radius`` bits that share a band, enough to connect all such.
+
+    A shard is a band; one of over ``SHARD_ROWS`` classes is split by the next three bands.
     """
-    shifted = F.posexplode("bands")
     ring = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.element_at("bands", (F.col("pos") + k) % BANDS + 1))
-    keyed = materialize(rows.select("fp", "bands", shifted).select("fp", F.col("col").alias("band"), ring.alias("finer")).distinct())
+    keyed = materialize(classes.select("name", "fp", "bands", F.posexplode("bands")).select("name", "fp", F.col("col").alias("band"), ring.alias("finer")))
     large = keyed.groupBy("band").count().where(F.col("count") > SHARD_ROWS).select("band", F.lit(True).alias("large"))
     subs = F.when(F.col("large"), F.col("finer")).otherwise(F.array(F.lit(0).cast("long")))
-    shards = keyed.join(large, "band", "left").select("band", F.explode(subs).alias("sub"), "fp")
+    shards = keyed.join(large, "band", "left").select("band", F.explode(subs).alias("a"), "name", "fp").withColumn("pair", F.struct("a", F.lit(0).alias("b")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(fps: list[bytes]) -> list[tuple[bytes, bytes]]:
-            return [(fps[i], fps[j]) for i, j in shard_forest([int.from_bytes(f, "little") for f in fps], radius)] if len(fps) > 1 else []
+    def forest(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+        return [(held[i][0], held[j][0]) for i, j in shard_forest([int.from_bytes(f, "little") for _, f in held], radius)]
 
+    return _linked(shards.select("band", "pair.a", "pair.b", "name", "fp"), "band", forest)
+
+
+def _linked(dealt: DataFrame, group: str, forest: Callable[[list[tuple]], list[tuple[bytes, bytes]]]) -> DataFrame:
+    """(u, v) that ``forest`` finds in each (group, a, b) of rows (group, a, b, name, ...); of equal names one row counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows arrive sorted by shard, so one shard is held at a time.
         held_key, held = None, []
         for batch in batches:
             out = []
-            for band, sub, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, sub) != held_key:
-                    out += forest(held)
-                    held_key, held = (band, sub), []
-                if not held or held[-1] != fp:
-                    held.append(fp)
+            for *key, name, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != held_key:
+                    out += forest(held) if len(held) > 1 else []
+                    held_key, held = key, []
+                if not held or held[-1][0] != name:
+                    held.append((name, one))
             yield _pairs(out)
-        yield _pairs(forest(held))
+        yield _pairs(forest(held) if len(held) > 1 else [])
+
+    spread = dealt.repartition(parallelism(dealt.sparkSession), group, "a", "b").sortWithinPartitions(group, "a", "b", "name")
+    return spread.mapInArrow(run, "u binary, v binary").distinct()
+
+
+def exact_forest(sets: list[np.ndarray], fps: list[bytes], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Indexes of links that join the components of sets with that Jaccard similarity."""
+    wide = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
+    size = np.array([len(x) for x in sets])
+    root, links = np.arange(len(sets)), []
+    for i in range(1, len(sets)):
+        far = np.bitwise_count(wide[:i] ^ wide[i]).sum(1)
+        fits = np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i])
+        near = np.flatnonzero((far <= radius) & fits)
+        for j in near[np.argsort(far[near], kind="stable")].tolist():
+            if root[i] != root[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                    links.append((i, j))
+                    root[: i + 1][root[: i + 1] == root[i]] = root[j]
+    return links
+
 
-    dealt = shards.repartition(parallelism(rows.sparkSession), "band", "sub").sortWithinPartitions("band", "sub", "fp")
-    return dealt.mapInArrow(run, "u binary, v binary").distinct()
+def exact_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, radius: int, words: int, similarity: float) -> DataFrame:
+    """(u, v) names of classes whose sets have that Jaccard similarity, within components of the loose links.
+
+    Only the texts of such components travel, once each; a large component is cut in
+    blocks, of which every two meet in a task.
+    """
+    found = components(loose)
+    members = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()))
+    members = materialize(members.join(classes, F.col("node") == F.col("name")).select("component", "name", "size", "low"))
+    share = F.greatest(F.count("*") / SHARD_ROWS, F.sum("size") / SHARD_SHINGLES)
+    parts = members.groupBy("component").agg(_parts(share).alias("parts"))
+    members = members.join(parts, "component").select("component", "parts", "name", F.col("low.doc_id").alias("low_id"), F.col("low.text_hash").alias("low_hash"))
+    texts = id_and_text(docs, _text_hash().alias("text_hash"))
+    joined = texts.join(members, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("text_hash") == F.col("low_hash")))
+    dealt = joined.select("component", F.explode(_dealt(F.col("parts"), F.col("name"))).alias("pair"), "name", "text").select("component", "pair.a", "pair.b", "name", "text")
+
+    def forest(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+        sets, fps = [], []
+        for _, text in held:
+            raw = text.encode("utf-8", "replace")
+            sets.append(np.unique(shingle_hashes(raw, words)))
+            fps.append(wide_bits(sets[-1]))
+        return [(held[i][0], held[j][0]) for i, j in exact_forest(sets, fps, radius, similarity)]
+
+    return _linked(dealt, "component", forest)
 
 
 def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -335,21 +412,23 @@ def similarity_radius(similarity: float) -> int:
     return round(64 * LANES * share + SLACK * math.sqrt(64 * LANES * share * (1 - share)))
 
 
-def similar_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) with links between texts whose shingle sets are that similar.
+def similar_keepers(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash) of the smallest row of each group, with links between texts whose shingle sets are that similar.
 
     At a similarity of 0.8 fingerprints differ in 15 % of their bits, where blocks of
     bits shard nothing. So the shards are bands of MinHash values, each with a BK-tree
-    of wide fingerprints, and the radius is the distance expected at ``similarity``.
+    of wide fingerprints, whose radius is so wide that it only filters. Within the
+    components of these links, pairs are linked by the Jaccard similarity of their sets.
     """
     rows = materialize(wide_fingerprints(docs, words))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    return _named(rows.select("doc_id", "fp"), classes, similar_links(rows, similarity_radius(similarity)))
+    classes = materialize(rows.groupBy("name").agg(F.min("row").alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    radius = similarity_radius(similarity)
+    links = exact_links(docs, classes, similar_links(classes, radius), radius, words, similarity)
+    return _lowest(classes.select(F.col("name").alias("fp"), "low"), links).select("component_id.doc_id", "component_id.text_hash").distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group: the smallest doc_id, of equal ids one row."""
-    found = similar_duplicates(docs, words, similarity)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = similar_keepers(docs, words, similarity).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
