@@ -285,6 +285,40 @@ def test_copies_are_judged_by_their_sets(spark):
     assert kept == {0, 2, 4, 6} | {i for i, _ in below}
 
 
+@pytest.mark.parametrize("shard_rows, shard_shingles", [(2000, 4_000_000), (6, 4_000_000), (2000, 900)])
+def test_groups_match_all_pairs(spark, monkeypatch, shard_rows, shard_shingles):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(simhash, "SHARD_SHINGLES", shard_shingles)
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        for _ in range(10):
+            at = int(rng.integers(0, 140))
+            words = words[:at] + [f"n{x}" for x in rng.integers(0, 10**6, int(rng.integers(1, 11)))] + words[at + 10 :]
+            texts.append((len(texts), " ".join(words)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in texts]
+    low = list(range(len(texts)))
+    for _ in range(12):
+        for i, a in enumerate(sets):
+            low[i] = min(low[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_of(spark, texts)).collect())
+    assert 12 < len(kept) < 110 and kept == sorted(set(low))
+
+
+def test_one_shared_band_suffices(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 5)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(30):
+        fp = rng.bytes(32)
+        for k in range(2):  # all share band 0, and only that
+            rows.append((f"{g}-{k}".encode(), fp[:31] + bytes([k]), [7, *map(int, rng.integers(0, 1 << 60, simhash.BANDS - 1))]))
+    rows += [(f"x-{g}".encode(), rng.bytes(32), list(map(int, rng.integers(0, 1 << 60, simhash.BANDS)))) for g in range(5)]
+    found = simhash.similar_links(spark.createDataFrame(rows, "name binary, fp binary, bands array<long>"), 46).collect()
+    assert {frozenset((bytes(r.u), bytes(r.v))) for r in found} == {frozenset((f"{g}-0".encode(), f"{g}-1".encode())) for g in range(30)}
+
+
 def test_large_shards_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 5)
     rng = np.random.default_rng(1)

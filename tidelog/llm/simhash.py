@@ -321,13 +321,12 @@ def _parts(share: Column) -> Column:
 def similar_links(classes: DataFrame, radius: int) -> DataFrame:
     """(u, v) names of fingerprints within ``radius`` bits that share a band, enough to connect all such.
 
-    A shard is a band; one of over ``SHARD_ROWS`` classes is split by the next three bands.
+    A shard is a band; one of over ``SHARD_ROWS`` classes is cut in blocks, of which
+    every two meet in a task.
     """
-    ring = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.element_at("bands", (F.col("pos") + k) % BANDS + 1))
-    keyed = materialize(classes.select("name", "fp", "bands", F.posexplode("bands")).select("name", "fp", F.col("col").alias("band"), ring.alias("finer")))
-    large = keyed.groupBy("band").count().where(F.col("count") > SHARD_ROWS).select("band", F.lit(True).alias("large"))
-    subs = F.when(F.col("large"), F.col("finer")).otherwise(F.array(F.lit(0).cast("long")))
-    shards = keyed.join(large, "band", "left").select("band", F.explode(subs).alias("a"), "name", "fp").withColumn("pair", F.struct("a", F.lit(0).alias("b")))
+    keyed = materialize(classes.select("name", "fp", F.explode("bands").alias("band")))
+    large = keyed.groupBy("band").count().where(F.col("count") > SHARD_ROWS).select("band", _parts(F.col("count") / SHARD_ROWS).alias("parts"))
+    shards = keyed.join(large, "band", "left").select("band", F.explode(_dealt(F.coalesce("parts", F.lit(1).cast("long")), F.col("name"))).alias("pair"), "name", "fp")
 
     def forest(held: list[tuple]) -> list[tuple[bytes, bytes]]:
         return [(held[i][0], held[j][0]) for i, j in shard_forest([int.from_bytes(f, "little") for _, f in held], radius)]
