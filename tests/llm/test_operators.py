@@ -319,6 +319,13 @@ def test_one_shared_band_suffices(spark, monkeypatch):
     assert {frozenset((bytes(r.u), bytes(r.v))) for r in found} == {frozenset((f"{g}-0".encode(), f"{g}-1".encode())) for g in range(30)}
 
 
+def test_keepers_without_ids(spark):
+    texts = [(None, "one two three four five six"), (None, "quite another text without an id"), (None, "quite another text without an id"), (None, "third"), (1, "text A of the first"), (5, "text A of the first"), (5, "text B of the fifth"), (7, "third")]
+    for order in (texts, texts[::-1]):
+        kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, order)).collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, [texts[0], texts[1], texts[4], texts[6], texts[7]]))
+
+
 def test_large_shards_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 5)
     rng = np.random.default_rng(1)

@@ -427,7 +427,13 @@ def similar_keepers(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id, of equal ids one row."""
-    kept = similar_keepers(docs, words, similarity).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each group: the smallest doc_id, of rows without an id the smallest hash.
+
+    Of groups whose smallest ids are equal and not null, one row stays.
+    """
+    kept = similar_keepers(docs, words, similarity)
+    own = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("own")
+    kept = kept.groupBy("doc_id", own).agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash")
+    marked = docs.withColumn("_tidelog_hash", _text_hash())
+    rows = marked.join(kept, F.col("_tidelog_hash").eqNullSafe(F.col("kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_tidelog_hash"]).drop("_tidelog_hash")
