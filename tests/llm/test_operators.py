@@ -206,6 +206,26 @@ def test_secrets():
     assert secret_scan.scan("token=abc token=ſecretx toKen:abcdef") == [(24, 36, "assign")]
 
 
+@pytest.mark.parametrize("before", ["https://host.example/x/", "cfg/", "data_", "a-", "ab-", "abc-"])
+def test_secrets_in_joined_runs(before):
+    for raw in (b"password=hunter2secret", gzip.compress(b"say token: abcdefgh99 now")):
+        text = f"see {before}{base64.b64encode(raw).decode()} end"
+        assert {k for *_, k in secret_scan.worklist(text)[0]} == {"assign"}
+
+
+def test_secrets_over_lines_and_in_large_layers():
+    for raw in (b"password=hunter2secret and more", gzip.compress(random.Random(3).randbytes(90).hex()[::2].upper().encode() + b" token: abcdefgh99")):
+        for end in ("\n", "\r\n  "):
+            code = base64.b64encode(raw).decode()
+            wrapped = end.join(code[i : i + 20] for i in range(0, len(code), 20))
+            assert (4, 4 + len(wrapped), "assign") in secret_scan.worklist(f"key {wrapped}\nend of it")[0]
+    size = secret_scan.MAX_INFLATED
+    for at in (10, size - 5, size + 70_000):
+        big = b"a b " * (at // 4) + b"secret=swordfish " + b"b a " * ((size + 100_000 - at) // 4)
+        code = base64.b64encode(gzip.compress(big)).decode()
+        assert secret_scan.worklist(code)[::2] == ([(0, len(code), "assign")], True)
+
+
 def test_simhash_matches_brute_force(spark):
     rng = random.Random(2)
     base = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 40))) for _ in range(60)]
