@@ -6,6 +6,7 @@ value (and tag), and an event of type error a tombstone.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import codec, crypto, membership
 from .operators import dedup, files, state
-from .schema import L0, L1, Policy
+from .plans.engine import Engine
+from .schema import HOUR, L0, L1, Policy
 from .streaming import bus
 
 AES_KEY = b"0123456789abcdef0123456789abcdef"
@@ -192,18 +194,30 @@ def q_merge_candidates_day(spark, d):
     return _candidates(spark, d, L1)
 
 
-@_query(_LOG + "SELECT key, seq, op, value FROM files WHERE file_id < 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
-def q_compact_group(spark, d):
-    return files.compact(_in_files(spark, d).where("file_id < 5")).select("key", "seq", "op", "value")
+_GROUPS = """, m AS (SELECT file_id, max(us // 1000000) AS w, min(key) AS a, max(key) AS b FROM fine GROUP BY file_id),
+g AS (SELECT w // 3600 AS bucket FROM m GROUP BY 1 HAVING count(*) > 1)
+"""
 
 
-_META = """, m AS (SELECT file_id, max(us // 1000000) AS w, min(key) AS a, max(key) AS b FROM files WHERE file_id < 5 GROUP BY file_id)
-SELECT min(w) AS window_start, max(w) AS window_end, 1 AS tier, min(a) AS min_key, max(b) AS max_key FROM m"""
+def _grouped(spark, d):
+    """Files of the hourly merge groups, with their bucket."""
+    metas = files.manifest(_in_files(spark, d, 4), _seconds()).withColumn("tier", F.lit(L0)).withColumn("bucket", F.expr(f"window_start div {HOUR}"))
+    groups = files.merge_candidates(metas, L0).select("bucket")
+    return metas.join(groups, "bucket", "left_semi")
 
 
-@_query(_LOG + _META)
+@_query(_LOG + _GROUPS + """SELECT w // 3600 AS bucket, key, seq, op, value FROM fine JOIN m USING (file_id) WHERE w // 3600 IN (SELECT bucket FROM g)
+QUALIFY row_number() OVER (PARTITION BY w // 3600, key ORDER BY seq DESC) = 1""")
+def q_compact_group(spark, d):
+    """The merge of every group of files that one hour holds."""
+    rows = _in_files(spark, d, 4).join(_grouped(spark, d).select("file_id", "bucket"), "file_id")
+    return files.compact(rows, "bucket").select("bucket", "key", "seq", "op", "value")
+
+
+@_query(_LOG + _GROUPS + """SELECT w // 3600 AS bucket, min(w) AS window_start, max(w) AS window_end, 1 AS tier, min(a) AS min_key, max(b) AS max_key
+FROM m WHERE w // 3600 IN (SELECT bucket FROM g) GROUP BY 1""")
 def q_compact_meta(spark, d):
-    return files.merged_meta(files.manifest(_in_files(spark, d).where("file_id < 5"), _seconds()).withColumn("tier", F.lit(L0)))
+    return files.merged_meta(_grouped(spark, d), "bucket")
 
 
 def _sized(spark, d):
@@ -227,9 +241,10 @@ def q_evict(spark, d):
     return files.evictions(_sized(spark, d), 1.0, 100000, 0.9).select("file_id", "tier", "window_start", "size_bytes")
 
 
-@_query(_LOG + _EVICT.format(t=-1000.0))
+@_query(_LOG + _EVICT.format(t=0.10).replace("100000.0::DOUBLE", "1e12::DOUBLE"))
 def q_evict_insufficient(spark, d):
-    return files.evictions(_sized(spark, d), 1.0, 100000, -1000.0).select("file_id", "tier", "window_start", "size_bytes")
+    """On so large a store all files together would not free enough, so none go."""
+    return files.evictions(_sized(spark, d), 1.0, 10**12, 0.10).select("file_id", "tier", "window_start", "size_bytes")
 
 
 # Values ---------------------------------------------------------------------------------
@@ -268,14 +283,16 @@ def q_cas_resolve(spark, d):
     return dedup.cas_resolve(refs, _cas(spark, d)).select("doc_id", "hash", F.octet_length("data").alias("n_bytes"))
 
 
-@_query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0")
+@_query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def q_cas_refs(spark, d):
-    return _documents(spark, d).where("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return _documents(spark, d).select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@_query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@_query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def q_cas_gc(spark, d):
-    return dedup.cas_garbage(_cas(spark, d).select("hash"), q_cas_refs(spark, d))
+    """Blobs of all documents, of which the English ones are still referred to."""
+    refs = _documents(spark, d).where("lang = 'en'").select(F.sha2("text", 256).alias("hash"))
+    return dedup.cas_garbage(_cas(spark, d).select("hash"), refs)
 
 
 _SERIES_LIKE = "strlen(text) >= 32 AND strlen(text) % 8 = 0"
@@ -335,14 +352,18 @@ def q_encrypt_roundtrip(spark, d):
     )
 
 
-@_query(_LOG + "SELECT DISTINCT key FROM log WHERE key % 3 = 0")
+@_query(_LOG + """, keys AS (SELECT DISTINCT key FROM log), probes AS (SELECT DISTINCT doc_id AS key FROM documents)
+SELECT (SELECT count(*) FROM probes) AS n_probes, (SELECT count(*) FROM probes WHERE key IN (SELECT key FROM keys)) AS n_members, true AS none_lost, true AS few_false""")
 def q_bloom_lookup(spark, d):
-    """Keys of the log that are multiples of three: the filter prunes the probes, a join verifies."""
+    """Every doc_id asked of a filter of the log's keys: members are never lost, at most 3 % of the others pass."""
     keys = log(spark, d).select("key").distinct()
     bits, hashes = membership.sizing(max(1, keys.count()), 0.01)
-    probes = keys.agg(F.max("key").alias("top")).select(F.explode(F.sequence(F.lit(0), F.col("top") * 2)).alias("key")).where("key % 3 = 0")
-    likely = membership.probe(probes, "key", membership.build(keys, "key", bits, hashes), bits, hashes)
-    return likely.join(keys, "key", "left_semi")
+    probes = _documents(spark, d).select(F.col("doc_id").alias("key")).distinct()
+    likely = membership.probe(probes, "key", membership.build(keys, "key", bits, hashes), bits, hashes).withColumn("likely", F.lit(True))
+    marked = probes.join(likely, "key", "left").join(keys.withColumn("member", F.lit(True)), "key", "left")
+    likely, member = (F.coalesce(c, F.lit(False)) for c in ("likely", "member"))
+    n = marked.agg(F.count("*").alias("n_probes"), F.count_if(member).alias("n_members"), F.count_if(member & ~likely).alias("lost"), F.count_if(~member & likely).alias("false"))
+    return n.select("n_probes", "n_members", (F.col("lost") == 0).alias("none_lost"), (F.col("false") <= 0.03 * F.col("n_probes") + 3).alias("few_false"))
 
 
 # Bus -------------------------------------------------------------------------------------
@@ -367,10 +388,8 @@ def _le(x: str) -> str:
 @_query(f"""SELECT event_id, upper({_le('event_id')}) AS key_hex,
 upper(lpad(to_hex({_TYPE}), 2, '0') || {_le('epoch_us(ts) * 1000')} || rpad(hex(props), 192, '0')) AS value_hex FROM events""")
 def q_bus_pack(spark, d):
-    events = _bus(spark, d)
-    packed = bus.pack(events)
-    le = F.hex(bus.little_endian(F.col("event_id")))
-    return events.select("event_id", le.alias("key_hex")).join(packed.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex")), "key_hex").select("event_id", "key_hex", "value_hex")
+    packed = bus.pack(_bus(spark, d), "event_id")
+    return packed.select("event_id", F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"))
 
 
 @_query("SELECT least(count(*), 1024)::BIGINT AS admitted, greatest(count(*) - 1024, 0)::BIGINT AS overflow FROM events")
@@ -381,13 +400,14 @@ def q_bus_ring(spark, d):
 
 @_query("SELECT event_id FROM events ORDER BY event_id LIMIT 64")
 def q_bus_pop(spark, d):
-    return bus.pop(_bus(spark, d), 64).select("event_id")
+    return bus.pop(bus.seal(_bus(spark, d)), 64).select("event_id")
 
 
-@_query("SELECT event_id FROM events WHERE event_id < 100")
+@_query("SELECT event_id FROM events")
 def q_bus_dedup(spark, d):
-    some = _bus(spark, d).where("event_id < 100").select("event_id")
-    return bus.dedup(some.unionByName(some))
+    """Every event delivered twice."""
+    events = _bus(spark, d).select("event_id")
+    return bus.dedup(events.unionByName(events))
 
 
 @_query("SELECT event_id FROM events WHERE event_id % 10 <> 7")
@@ -416,13 +436,74 @@ def q_le_range_order(spark, d):
     return _bus(spark, d).where((le >= "0A00000000000000") & (le < "0C00000000000000")).select("event_id")
 
 
-@_query(_SQL["q_replay_lww"])
+_ROOMS = itertools.count()
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the cluster's shared one; only a local session may lack that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    jvm = spark.sparkContext._jvm
+    root = f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{next(_ROOMS)}"
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return root
+
+
+@_query(f"""SELECT upper({_le('event_id')}) AS key_hex,
+upper(lpad(to_hex({_TYPE}), 2, '0') || {_le('epoch_us(ts) * 1000')} || rpad(hex(props), 192, '0')) AS value_hex FROM events""")
 def q_stream_ingest(spark, d):
-    """The log read as a stream, appended by micro-batches, then replayed."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelog-stream-")
-    root = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(d)}-{spark.sparkContext._jvm.System.nanoTime()}"
-    source = _table(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
-    query = bus.ingest_stream(stream, lambda batch, _: batch.write.mode("append").parquet(f"{root}/events.parquet"), f"{root}/checkpoint")
-    query.awaitTermination()
-    return q_replay_lww(spark, root)
+    """Sealed bus events in four micro-batches through the engine's ingest, then a scan of its state."""
+    root = _scratch(spark, "stream")
+    sealed = bus.seal(_bus(spark, d))
+    sealed.repartitionByRange(4, "event_id").write.parquet(f"{root}/events")
+    engine = Engine(spark, f"{root}/engine")
+    stream = spark.readStream.schema(sealed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    engine.ingest_stream(stream, f"{root}/checkpoint").awaitTermination()
+    return engine.scan().select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"))
+
+
+# Engine ----------------------------------------------------------------------------------
+
+
+def _engine(spark, d, policy: Policy = Policy.BALANCED) -> Engine:
+    """The whole log put in four appends: three flushed within an hour and merged, the last still in the log."""
+    engine = Engine(spark, _scratch(spark, "engine"), policy=policy)
+    rows = log(spark, d).select("seq", "op", F.col("key").cast("string").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.array("tag").alias("tags"))
+    top = rows.agg(F.max("seq")).first()[0]
+    if top is None:
+        return engine
+    bounds = [(top + 1) * i // 4 for i in range(5)]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        engine.append(rows.where((F.col("seq") >= low) & (F.col("seq") < high)).orderBy("seq").drop("seq"))
+        if i < 3:
+            engine.flush(window=HOUR * 10 + i)
+    engine.run_tiering_cycle(0.0, 1)
+    return engine
+
+
+_TEXT_KEYS = "SELECT key::VARCHAR AS key, value FROM ({}) WHERE op = 0"
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@_query(_LOG + _TEXT_KEYS.format(_LATEST.format(t="log")))
+def q_engine_scan(spark, d):
+    """Append, flush, merge and scan: live rows of merged files under the log's tail."""
+    return _plain(_engine(spark, d).scan().where("op = 0"))
+
+
+@_query(_LOG + _TEXT_KEYS.format(_LATEST.format(t="log")) + " AND key::VARCHAR >= '2' AND key::VARCHAR < '5'")
+def q_engine_range(spark, d):
+    """The same over blobs by hash: keys as bytes in [2, 5)."""
+    return _plain(_engine(spark, d, Policy.EXTREME_SPACE).get_range(b"2", b"5"))
+
+
+@_query(_LOG + _TEXT_KEYS.format(_LATEST.format(t="log")) + """ AND key IN (SELECT key FROM log WHERE tag = '{"k": 87}')""")
+def q_engine_by_tag(spark, d):
+    return _plain(_engine(spark, d).get_by_tag('{"k": 87}'))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def share_values(entries: DataFrame) -> DataFrame:
-    """kind raw for a value's first entry of a file, ref (to orig) for later equal ones."""
-    first = F.min("seq").over(Window.partitionBy("file_id", "value"))
-    return entries.withColumn("orig", first).withColumn("kind", F.when(F.col("seq") > F.col("orig"), "ref").otherwise("raw"))
+    """kind raw for a value's first entry of a file, ref (to orig) for later equal ones.
+
+    The first entries come from an aggregate, combined before it is shuffled, so a value
+    that very many entries hold is never gathered; entries then join it by hash.
+    """
+    marked = entries.withColumn("value_hash", F.sha2(F.col("value").cast("binary"), 256))
+    first = marked.groupBy("file_id", "value_hash").agg(F.min("seq").alias("orig"))
+    found = first.select(F.col("file_id").alias("in_file"), F.col("value_hash").alias("of_hash"), "orig")
+    same = (F.col("file_id") == F.col("in_file")) & F.col("value_hash").eqNullSafe(F.col("of_hash"))
+    joined = marked.join(found, same).drop("in_file", "of_hash", "value_hash")
+    return joined.withColumn("kind", F.when(F.col("seq") > F.col("orig"), "ref").otherwise("raw"))
 
 
 def resolve_refs(shared: DataFrame) -> DataFrame:

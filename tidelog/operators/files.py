@@ -35,14 +35,14 @@ def merge_candidates(files: DataFrame, tier: int) -> DataFrame:
     return files.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("file_id")).alias("file_ids")).where("n > 1")
 
 
-def compact(entries: DataFrame) -> DataFrame:
-    """Merge of files: the latest entry of each key, tombstones included."""
-    return latest(entries)
+def compact(entries: DataFrame, *group: str) -> DataFrame:
+    """Merge of files, of each group apart: the latest entry of each key, tombstones included."""
+    return latest(entries, within=group)
 
 
-def merged_meta(files: DataFrame) -> DataFrame:
-    """Bounds, window and tier of the file that replaces these."""
-    return files.agg(
+def merged_meta(files: DataFrame, *group: str) -> DataFrame:
+    """Bounds, window and tier of the file that replaces these, or those of each group."""
+    return files.groupBy(*group).agg(
         F.min("window_start").alias("window_start"),
         F.max("window_end").alias("window_end"),
         F.least(F.min("tier") + 1, F.lit(L3)).alias("tier"),

@@ -17,12 +17,13 @@ def is_dead(op: str = "op", value: str = "value") -> Column:
     return (F.col(op) == DELETE) | F.coalesce(F.octet_length(F.col(value)) == 0, F.lit(True))
 
 
-def latest(log: DataFrame, *order: str) -> DataFrame:
-    """One row per key, by the largest ``order`` (seq unless given); tombstones stay."""
+def latest(log: DataFrame, *order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key (of each group ``within``), by the largest ``order`` (seq unless given); tombstones stay."""
     order = order or ("seq",)
-    rest = [c for c in log.columns if c != "key"]
+    own = [*within, "key"]
+    rest = [c for c in log.columns if c not in own]
     by = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return log.groupBy("key").agg(F.max_by(F.struct(*rest), by).alias("row")).select("key", *[F.col(f"row.{c}").alias(c) for c in rest])
+    return log.groupBy(*own).agg(F.max_by(F.struct(*rest), by).alias("row")).select(*own, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def live(log: DataFrame, *order: str) -> DataFrame:

@@ -45,8 +45,13 @@ MANIFEST = T.StructType(
         T.StructField("min_key", T.BinaryType()),
         T.StructField("max_key", T.BinaryType()),
         T.StructField("max_seq", T.LongType(), False),
+        T.StructField("policy", T.IntegerType(), False),
     ]
 )
+#: A file's entry: its value, or the entry whose value it shares, or its blob's hash.
+ENTRY = T.StructType([*LOG.fields, T.StructField("orig", T.LongType()), T.StructField("hash", T.StringType())])
+TAGGED = T.StructType([T.StructField("tag", T.StringType()), T.StructField("key", T.BinaryType())])
+BLOB = T.StructType([T.StructField("hash", T.StringType()), T.StructField("codec", T.IntegerType()), T.StructField("data", T.BinaryType())])
 EVENT = T.StructType(
     [
         T.StructField("event_id", T.LongType(), False),

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import crypto
 from ..schema import DELETE, PUT
 
 
@@ -54,13 +56,69 @@ def decode(data: bytes) -> Iterator[tuple[int, bytes, bytes | None, list[str]]]:
         yield op, key, value, [blob().decode("utf-8", "replace") for _ in range(n)]
 
 
-def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, op, key, value, tags) of framed files, in order within each file."""
+def split(data: bytes) -> Iterator[bytes]:
+    """The frames' bodies in order, under the same rules as ``decode``."""
+    at = 0
+    while at + 4 <= len(data):
+        (size,) = struct.unpack_from("<I", data, at)
+        if at + 4 + size > len(data):
+            raise ValueError("torn record")
+        yield data[at + 4 : at + 4 + size]
+        at += 4 + size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+_RECORD = "op int, key binary, value binary, tags array<string>"
+
+
+def read_wal(spark: SparkSession, path: str, key: bytes | None = None) -> DataFrame:
+    """(file, seq, op, key, value, tags) of framed files, in order within each file; with a key each body is sealed."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch.path, batch.content, strict=True):
-                yield pd.DataFrame([(name, i, *r) for i, r in enumerate(decode(bytes(data)))], columns=["file", "seq", "op", "key", "value", "tags"])
+                yield pd.DataFrame([(name, i, body) for i, body in enumerate(split(bytes(data)))], columns=["file", "seq", "body"])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, i, *next(decode(_blob(bytes(body))))) for f, i, body in zip(batch.file, batch.seq, batch.body, strict=True)]
+            yield pd.DataFrame(rows, columns=["file", "seq", "op", "key", "value", "tags"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, seq long, op int, key binary, value binary, tags array<string>")
+    bodies = files.mapInPandas(cut, "file string, seq long, body binary")
+    if key:
+        bodies = bodies.withColumn("body", crypto.decrypt(F.col("body"), key))
+    return bodies.mapInPandas(parse, f"file string, seq long, {_RECORD}")
+
+
+def frames(rows: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(body) of each record (op, key, value, tags), by partition; with a key sealed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies = [
+                encode(op, bytes(k), None if v is None else bytes(v), None if t is None else list(t))[4:]
+                for op, k, v, t in zip(batch.op, batch.key, batch.value, batch.tags, strict=True)
+            ]
+            yield pd.DataFrame({"body": bodies})
+
+    out = rows.select("op", "key", "value", "tags").mapInPandas(run, "body binary")
+    return out.withColumn("body", crypto.encrypt(F.col("body"), key)) if key else out
+
+
+def write_wal(rows: DataFrame, path: str, key: bytes | None = None) -> int:
+    """Records as one framed file, in the order of ``rows``; returns how many.
+
+    Such a file is one sequence of bytes, so partitions are streamed through the
+    driver one after another; no more than one is held.
+    """
+    spark = rows.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    n = 0
+    try:
+        for row in frames(rows, key).toLocalIterator():
+            out.write(bytearray(_blob(bytes(row.body))))
+            n += 1
+    finally:
+        out.close()
+    return n

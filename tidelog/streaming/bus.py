@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STALE_MS = 5000
@@ -30,11 +30,11 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(good), events.where(~good)
 
 
-def pack(events: DataFrame) -> DataFrame:
-    """Entries of the log: key = id, value = type, timestamp and 96 payload bytes."""
+def pack(events: DataFrame, *keep: str) -> DataFrame:
+    """Entries of the log: key = id, value = type, timestamp and 96 payload bytes; ``keep`` names further columns."""
     payload = F.unhex(F.rpad(F.coalesce(F.hex("payload"), F.lit("")), 192, "0"))
     value = F.concat(little_endian(F.col("event_type"), 1), little_endian(F.col("timestamp")), payload)
-    return events.select(little_endian(F.col("event_id")).alias("key"), value.alias("value"), F.array().cast("array<string>").alias("tags"))
+    return events.select(*keep, little_endian(F.col("event_id")).alias("key"), value.alias("value"), F.array().cast("array<string>").alias("tags"))
 
 
 def admit(events: DataFrame, capacity: int, order: str = "event_id", used: int = 0) -> DataFrame:
@@ -48,6 +48,9 @@ def admit(events: DataFrame, capacity: int, order: str = "event_id", used: int =
 
 
 def pop(events: DataFrame, limit: int, order: str = "event_id") -> DataFrame:
+    """The first ``limit`` events in order; sealed ones whose checksum fails are passed over."""
+    if "checksum" in events.columns:
+        events = split_valid(events)[0]
     return events.orderBy(order).limit(limit)
 
 
