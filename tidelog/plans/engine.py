@@ -237,8 +237,9 @@ class Engine:
     # Maintenance -----------------------------------------------------------------
     def _write(self, rows: DataFrame, name: str, policy: Policy) -> str:
         """A sorted file by the policy: plain values, values shared within the file, or blobs by hash."""
-        path = f"{self.root}/files/{name}"
-        rows = rows.withColumn("orig", F.lit(None).cast("long")).withColumn("hash", F.lit(None).cast("string"))
+        path, staged = f"{self.root}/files/{name}", f"{self.root}/staged-{uuid.uuid4().hex}"
+        self._hidden(rows).write.parquet(staged)  # merged once; sorting by range reads its input twice
+        rows = self._load(staged, LOG).withColumn("orig", F.lit(None).cast("long")).withColumn("hash", F.lit(None).cast("string"))
         if policy == Policy.EXTREME_SPACE:
             data = F.coalesce("value", F.lit(b""))
             rows = rows.withColumn("hash", F.sha2(data, 256)).withColumn("value", data)
@@ -252,6 +253,7 @@ class Engine:
         self._hidden(tags.repartitionByRange("tag").sortWithinPartitions("tag", "key")).write.mode("overwrite").parquet(f"{path}/tags")
         ordered = rows.select(*ENTRY.fieldNames()).repartitionByRange("key").sortWithinPartitions("key")
         self._hidden(ordered).write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{path}/rows")
+        self._delete(staged)
         return path
 
     def _put_blobs(self, blobs: DataFrame) -> None:
