@@ -9,7 +9,8 @@ then dealt to partitions and ordered by a second hash: a global shuffle.
 Everything is DataFrame functions. Per source only one row is aggregated; the
 hot source is never gathered. A null source is a source of its own; rows with
 equal doc_id share their draw; an empty table gives an empty result; a source
-without weight, or weight <= 0, is left out, as its target share is zero.
+without weight, or weight <= 0, is left out, as its target share is zero; null and
+very long texts pass as they are.
 """
 
 from __future__ import annotations
@@ -28,21 +29,25 @@ def _unit(*parts) -> F.Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _poisson_steps(rate) -> F.Column:
-    """The cumulative distribution at 0, 1, ... until it rounds to 1."""
+def _poisson(rate, u) -> F.Column:
+    """The Poisson quantile at u: how many of the cumulative probabilities at 0, 1, ... are at most u.
+
+    Summed up to where they round to 1, in time and memory linear in the rate, as are
+    the copies that a draw makes.
+    """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cum"), F.array(F.exp(-rate)).alias("steps"))
+    first = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cum"), (F.exp(-rate) <= u).cast("int").alias("n"))
 
     def step(acc, k):
         logp = acc["logp"] + F.ln(rate) - F.ln(k.cast("double"))
         cum = acc["cum"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), cum.alias("cum"), F.array_append(acc["steps"], cum).alias("steps"))
+        return F.struct(logp.alias("logp"), cum.alias("cum"), (acc["n"] + (cum <= u).cast("int")).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), first, step, lambda acc: acc["steps"])
+    return F.aggregate(F.sequence(F.lit(1), last), first, step, lambda acc: acc["n"])
 
 
 def source_rates(docs: DataFrame, weights: dict | None = None, target_rows: int | None = None, key: str = "source") -> DataFrame:
-    """(source, rows, rate, steps): one row per source.
+    """(source, rows, rate): one row per source.
 
     weights: source -> relative weight; without it all sources weigh the same.
     target_rows: expected rows of the mix; without it as many as the weighted
@@ -60,24 +65,28 @@ def source_rates(docs: DataFrame, weights: dict | None = None, target_rows: int
     all_weight, all_rows = per.agg(F.sum("mix_weight"), F.sum("mix_rows")).first()
     asked = float(target_rows if target_rows is not None else all_rows or 0)
     rate = F.col("mix_weight") / F.lit(float(all_weight or 1.0)) * F.lit(asked) / F.col("mix_rows")
-    return per.withColumn("mix_rate", rate).withColumn("mix_steps", _poisson_steps(F.col("mix_rate"))).select("mix_source", "mix_rows", "mix_rate", "mix_steps")
+    return per.withColumn("mix_rate", rate).select("mix_source", "mix_rows", "mix_rate")
 
 
 def poisson_mix(
     docs: DataFrame, weights: dict | None = None, target_rows: int | None = None, key: str = "source", seed: str = SEED
 ) -> DataFrame:
-    """``docs`` with each row repeated, plus ``copy`` (from 1) and ``shuffle_key``."""
+    """``docs`` with each row repeated, plus ``copy`` (from 1) and ``shuffle_key``.
+
+    Columns of ``docs`` with one of these two names give way; any others may clash with nothing.
+    """
     # Written first, so that Spark knows its size and broadcasts it only if it is small.
-    rates = materialize(source_rates(docs, weights, target_rows, key).select("mix_source", "mix_steps"))
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rows = docs.select(*names)
+    rates = materialize(source_rates(docs, weights, target_rows, key).select("mix_source", "mix_rate"))
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = _unit(F.lit(seed), doc)
-    drawn = rows.join(rates, F.col(key).eqNullSafe(F.col("mix_source")))
-    drawn = drawn.withColumn("mix_count", F.size(F.filter("mix_steps", lambda c: c <= u)))
-    copies = drawn.where("mix_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), doc, F.col("copy").cast("string")))
-    out = copies.withColumn("shuffle_key", order).select(*names, "copy", "shuffle_key")
+    # The row travels as one field, so that its names can't meet those used here.
+    rows = docs.select(F.struct(*names).alias("row"), F.col(key).alias("own_source"), doc.alias("doc"))
+    drawn = rows.join(rates, F.col("own_source").eqNullSafe(F.col("mix_source")))
+    # A hash is computed once, not for every step: projections of lambdas don't share it.
+    drawn = drawn.withColumn("u", F.array(_unit(F.lit(seed), F.col("doc")))).withColumn("n", F.element_at(F.transform("u", lambda u: _poisson(F.col("mix_rate"), u)), 1))
+    copies = drawn.where("n > 0").select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    order = F.md5(F.concat_ws("|", F.lit(seed), "doc", F.col("copy").cast("string")))
+    out = copies.select("row.*", "copy", order.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
