@@ -17,12 +17,15 @@ CHUNK_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, from ``spark.checkpoint.dir``.
 
-    Only where it is unset (single-machine tests) a temporary folder is made.
+    Only where it is unset in a local session (tests) a temporary folder is made; a
+    cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -56,6 +59,23 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_back(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per key, where a key may hold most rows.
+
+    ``counts`` has (key, n). Keys with over a share of 1 / (4 x partitions) of all rows,
+    of which there are 4 x partitions at most, are met by a broadcast, the others by a
+    shuffle; so no task gets more rows than its share. ``rows`` is read twice.
+    """
+    spark = rows.sparkSession
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / (4 * parallelism(spark))
+    hot = [r[0] for r in counts.where(F.col("n") > least).select(key).collect()]  # 4 x partitions at most
+    if not hot:
+        return rows.join(table, key, how)
+    names = spark.createDataFrame([(x,) for x in hot], f"{key} {rows.schema[key].dataType.simpleString()}")
+    big = rows.join(F.broadcast(names), key, "left_semi").join(F.broadcast(table.join(F.broadcast(names), key, "left_semi")), key, how)
+    return big.unionByName(rows.join(F.broadcast(names), key, "left_anti").join(table, key, how))
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator reads; a null text counts as empty."""
     return docs.select(

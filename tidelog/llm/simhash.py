@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_text, materialize, parallelism
+from .common import chunks, id_and_text, join_back, materialize, parallelism
 from .components import components
 
 SEED = 42
@@ -208,20 +208,21 @@ def _signed(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 def _lowest(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fp, component_id) of classes (fp, low) and links between fps."""
     joined = components(pairs)
-    named = joined.join(classes, F.col("node") == F.col("fp")).select("component", "node", "low")
-    heads = joined.select(F.col("component").alias("node"), "component").distinct().join(classes, F.col("node") == F.col("fp")).select("component", "node", "low")
-    named = named.unionByName(heads)
-    # A component may hold very many classes: smallest id by aggregation, then a plain join back.
+    heads = joined.groupBy("component").agg(F.count("*").alias("n"))
+    nodes = joined.select(F.col("node").alias("fp"), "component").unionByName(heads.select(F.col("component").alias("fp"), "component"))
+    # A class is one row, so this join has no hot key; a component may hold very many classes.
+    named = materialize(nodes.join(classes.select("fp", "low"), "fp"))
     least = named.groupBy("component").agg(F.min("low").alias("least"))
-    moved = named.select("component", F.col("node").alias("fp")).join(least, "component").select("fp", "least")
-    return classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    moved = join_back(named.select("fp", "component"), least, "component", heads).select("fp", "least")
+    return classes.select("fp", "low").join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
     rows = materialize(fingerprints(docs, words))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    return rows.join(_lowest(classes, links(classes, radius)), "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    lowest = materialize(_lowest(classes, links(classes, radius)))
+    return join_back(rows, lowest, "fp", classes).select("doc_id", "fp", "component_id")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
@@ -426,14 +427,18 @@ def similar_keepers(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return _lowest(classes.select(F.col("name").alias("fp"), "low"), links).select("component_id.doc_id", "component_id.text_hash").distinct()
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id, of rows without an id the smallest hash.
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, by_row: bool = False) -> DataFrame:
+    """``docs`` with one document of each group: the smallest doc_id, and of those the smallest hash of the text.
 
-    Of groups whose smallest ids are equal and not null, one row stays.
+    ``by_row``: a row is a document of its own, named by its doc_id and text, so one row
+    of every group stays whatever the ids. Otherwise a doc_id that is not null names one
+    document, and of groups whose smallest ids are equal one row stays.
     """
     kept = similar_keepers(docs, words, similarity)
-    own = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("own")
-    kept = kept.groupBy("doc_id", own).agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash")
+    if not by_row:
+        own = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("own")
+        kept = kept.groupBy("doc_id", own).agg(F.min("text_hash").alias("text_hash"))
+    kept = kept.select(F.col("doc_id").alias("_tidelog_id"), F.col("text_hash").alias("_tidelog_kept"))
     marked = docs.withColumn("_tidelog_hash", _text_hash())
-    rows = marked.join(kept, F.col("_tidelog_hash").eqNullSafe(F.col("kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = marked.join(kept, F.col("_tidelog_hash").eqNullSafe(F.col("_tidelog_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_tidelog_id")), "left_semi")
     return rows.dropDuplicates(["doc_id", "_tidelog_hash"]).drop("_tidelog_hash")
