@@ -1,21 +1,27 @@
 """Surrogates for personal data, by DataFrame functions alone (operator 1).
 
 Detected: e-mail addresses, IPv4 addresses, telephone numbers, payment cards, US
-social security numbers, IBANs, given names of a fixed list and the family names that
-follow them or a title. Each entity has a canonical form (digits only, lower case),
-so mentions in several formats corefer, within and across documents. A surrogate is
-drawn from SHA-512 of the secret key, kind, canonical form and attempt:
+social security numbers, IBANs, given names of a fixed list, in capitals too, the
+family names that follow them or a title, and names of any kind after a word of
+kinship or friendship. A name found so is known in its document, and is then found
+wherever it stands there alone. Each entity has a canonical form (digits only, lower
+case), so mentions in several formats corefer, within and across documents. A surrogate
+is drawn from SHA-512 of the secret key, kind, canonical form and attempt:
 
 - e-mail: letters by letters, digits by digits; top-level domain kept;
 - numbers: digits by digits in the mention's own format; country code of a telephone,
   first digit of a card, its Luhn validity, and country of an IBAN kept;
 - IPv4: four octets; family names: syllables of the same script (Latin, Cyrillic or
   Greek), feminine Cyrillic ending kept; given names: a keyed permutation of the
-  names of the same gender and script, so it is one-to-one without a check.
+  names of the same gender and script, so it is one-to-one without a check. Names
+  beyond the list, whose gender is unknown, are spelled as family names are.
 
 Collision check: a table of the distinct entities takes surrogates; those that equal
-another entity's surrogate, or any original of the corpus, draw again until none
-does. The table is joined back by entity; only documents with entities are shuffled.
+another entity's surrogate, or any original of the corpus, draw again, e-mail addresses
+and family names with room to grow. What still collides after MAX_ROUNDS is of a form
+that is nearly used up. As no surrogate is an original, such entities then take each
+other's originals, in a circle by form, which is distinct by itself. The table is
+joined back by entity; only documents with entities are shuffled.
 
 Defined cases: null text stays null and has no entities; equal rows are treated
 alike; other columns of the input are not read; an empty table gives an empty result.
@@ -26,14 +32,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 KEY = "surrogate-key-1"
 #: Rounds of the collision check; each redraws only what collided.
-MAX_ROUNDS = 40
+MAX_ROUNDS = 12
 #: Characters of an entity that one digest serves, a byte each.
 BLOCK = 60
 
@@ -48,6 +54,12 @@ GIVEN = {
 }
 # Titles before family names.
 TITLES = ["Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Sr.", "Sra.", "Mme"]
+# Words before a person's name.
+KIN = (
+    "son daughter brother sister wife husband mother father uncle aunt cousin nephew niece friend colleague neighbour neighbor "
+    "Sohn Tochter Bruder Schwester Freund Freundin Kollege Kollegin hijo hija hermano hermana amigo amiga fils fille frère sœur ami amie "
+    "сын дочь брат сестра друг подруга"
+).split()
 # Syllables of made-up family names.
 SYLLABLES = {
     "latin": "bar del fen gor hal kem lin mor nes per ros sal tam vel win dor".split(),
@@ -55,7 +67,8 @@ SYLLABLES = {
     "greek": "βαρ γελ δορ καλ λιν μαρ νεσ παλ ρον σελ τιμ φαν χολ κερ δαν μιλ".split(),
 }
 
-_NAMES = [n for pool in GIVEN.values() for n in pool]
+_LISTED = [n for pool in GIVEN.values() for n in pool]
+_NAMES = [*_LISTED, *(n.upper() for n in _LISTED)]
 _CAPITALISED = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -65,10 +78,11 @@ _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _GIVEN = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(_NAMES)})(?!\p{{L}})"
 _FAMILY = rf"(?<= )(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(x.replace('.', '[.]') for x in [*_NAMES, *TITLES])}) ){_CAPITALISED}"
+_KIN = rf"(?<= )(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(KIN)}) (?:\p{{Lu}}\p{{L}}{{1,20}} )?){_CAPITALISED}"
 # Possessive groups loop without recursion, so a long address can't overflow the stack.
 # Cheap looks at one character come before each costly alternative.
 _NUMERIC = rf"(?=[\d+(])(?:{'|'.join((_SSN, _PHONE, _CARD, _IP))})"
-_NAMED = rf"(?=\p{{Lu}})(?:{'|'.join((_FAMILY, _GIVEN))})"
+_NAMED = rf"(?=\p{{Lu}})(?:{'|'.join((_FAMILY, _GIVEN, _KIN))})"
 ENTITY = f"{_EMAIL}|(?=[A-Z])(?:{_IBAN})|{_NUMERIC}|{_NAMED}"
 
 
@@ -87,7 +101,7 @@ def _kind(m: Column) -> Column:
 
 def _canonical(m: Column, kind: Column) -> Column:
     return (
-        F.when(kind.isin("email", "family"), F.lower(m))
+        F.when(kind.isin("email", "family", "given"), F.lower(m))
         .when(kind.isin("card", "ssn"), F.regexp_replace(m, r"\D", ""))
         .when(kind == "phone", F.regexp_replace(m, r"[^\d+]", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
@@ -95,14 +109,24 @@ def _canonical(m: Column, kind: Column) -> Column:
     )
 
 
-def mentions(text: Column) -> Column:
+def mentions(text: Column, pattern: Column | None = None) -> Column:
     """array<struct<mention, kind, canon>> in order of the text."""
 
     def one(m: Column) -> Column:
         kind = _kind(m)
         return F.struct(m.alias("mention"), kind.alias("kind"), _canonical(m, kind).alias("canon"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), one)
+    return F.transform(F.regexp_extract_all(text, F.lit(ENTITY) if pattern is None else pattern, F.lit(0)), one)
+
+
+def pattern_of(found: Column) -> Column:
+    """ENTITY, and the names found in the document wherever they stand alone, in their case or in capitals."""
+    names = F.array_distinct(F.transform(F.filter(found, lambda x: x["kind"] == "family"), lambda x: x["mention"]))
+    forms = F.array_distinct(F.concat(names, F.transform(names, lambda n: F.initcap(F.lower(n))), F.transform(names, lambda n: F.upper(n))))
+    # Longer forms first, as the first that fits is taken.
+    ordered = F.transform(F.sort_array(F.transform(forms, lambda n: F.struct(F.length(n).alias("n"), n.alias("f"))), False), lambda x: x["f"])
+    known = F.concat(F.lit(ENTITY + r"|(?=\p{Lu})(?<!\p{L})(?:"), F.array_join(ordered, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(names) > 0, known).otherwise(F.lit(ENTITY))
 
 
 def _luhn(digits: Column, odd_doubled: int) -> Column:
@@ -163,7 +187,10 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column
 
     cyrillic = F.concat(name("cyrillic"), F.when(canon.endswith("а"), F.lit("ова")).otherwise(F.lit("ов")))
     family = F.when(canon.rlike(r"\p{IsCyrillic}"), cyrillic).when(canon.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
-    return F.when(kind == "ip", octets).when(kind == "family", family).when(kind == "card", card).otherwise(spelled)
+    # Short addresses have few forms; from the third attempt on they grow.
+    more = F.substring(F.translate(F.sha2(F.concat(seed, F.lit("more")), 256), "0123456789", "ghijklmnop"), F.lit(1), F.greatest(attempt - 1, F.lit(0)))
+    grown = F.when(attempt > 1, F.concat(more, spelled)).otherwise(spelled)
+    return F.when(kind == "ip", octets).when(kind == "family", family).when(kind == "card", card).when(kind == "email", grown).otherwise(spelled)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -181,7 +208,20 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         again = rows.join(losers, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("again"), F.lit(False)).cast("int"))
         anew = F.when(F.col("again"), draw(F.col("kind"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("surrogate"))
         rows = materialize(again.select("kind", "canon", "attempt", anew.alias("surrogate")))
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
+    return _circles(rows, losers)
+
+
+def _circles(rows: DataFrame, losers: DataFrame) -> DataFrame:
+    """Losers take the original of the next of their form; one alone takes that of another entity of its form."""
+    shape = F.regexp_replace(F.regexp_replace("canon", "[0-9]", "0"), r"\p{L}", "a")
+    shaped = losers.select("kind", "canon", shape.alias("shape"))
+    near = Window.partitionBy("kind", "shape").orderBy("canon")
+    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    moved = shaped.withColumn("next", F.coalesce(F.lead("canon").over(near), F.first("canon").over(whole)))
+    alone = moved.where("next = canon").select("kind", "shape", F.col("canon").alias("lone"))
+    other = rows.select("kind", shape.alias("shape"), "canon").join(alone, ["kind", "shape"]).where("canon <> lone").groupBy("kind", F.col("lone").alias("canon")).agg(F.min("canon").alias("other"))
+    taken = materialize(moved.join(other, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("other", "next").alias("taken")))
+    return rows.join(taken, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("taken", "surrogate").alias("surrogate"))
 
 
 def given_names(key: str = KEY) -> dict[str, str]:
@@ -205,11 +245,15 @@ def _formatted(m: Column, kind: Column, surrogate: Column, key: str) -> Column:
         return F.struct(F.concat(acc["out"], F.when(takes, F.substring(places, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + takes.cast("int")).alias("k"))
 
     digits = F.aggregate(chars, start, put, lambda acc: acc["out"])
-    cased = F.array_join(F.zip_with(chars, F.split(surrogate, ""), lambda a, b: F.when((a == F.upper(a)) & (a != F.lower(a)), F.upper(b)).otherwise(b)), "")
+    # A surrogate that has grown is longer than the mention by signs at its start.
+    ahead = F.length(surrogate) - F.length(m)
+    own = F.substring(surrogate, ahead + 1, F.length(m))
+    cased = F.concat(F.substring(surrogate, F.lit(1), ahead), F.array_join(F.zip_with(chars, F.split(own, ""), lambda a, b: F.when((a == F.upper(a)) & (a != F.lower(a)), F.upper(b)).otherwise(b)), ""))
     family = F.when(m == F.upper(m), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    names = F.create_map(*[F.lit(x) for pair in given_names(key).items() for x in pair])
+    names = F.create_map(*[F.lit(x) for old, new in given_names(key).items() for x in (old.lower(), new)])
+    given = F.when((m == F.upper(m)) & (F.length(m) > 1), F.upper(names[F.lower(m)])).otherwise(names[F.lower(m)])
     return (
-        F.when(kind == "given", names[m])
+        F.when(kind == "given", given)
         .when(kind == "email", cased)
         .when(kind == "family", family)
         .when(kind == "ip", surrogate)
@@ -230,7 +274,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     has = F.coalesce(_has_entity(F.col("text")), F.lit(False))
     clean = rows.where(~has).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     # A row's key: the same for equal rows, which get the same surrogates.
-    dirty = rows.where(has).withColumn("found", mentions(F.col("text"))).withColumn("row", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
+    dirty = rows.where(has).withColumn("pattern", pattern_of(mentions(F.col("text")))).withColumn("found", mentions(F.col("text"), F.col("pattern"))).withColumn("row", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
     dirty = materialize(dirty)
     spread = dirty.select("row", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["canon"].alias("canon"))))).alias("e"))
     spread = spread.select("row", "e.kind", "e.canon").where("kind <> 'given'").distinct()
@@ -239,7 +283,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     joined = dirty.join(per_row, "row", "left")
     known = lambda x: F.col("known")[F.concat_ws("|", x["kind"], x["canon"])]
     new = F.transform("found", lambda x: _formatted(x["mention"], x["kind"], known(x), key))
-    pieces = F.split("text", ENTITY, -1)
+    pieces = F.split("text", F.col("pattern"), -1)
     text = F.array_join(F.flatten(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     replaced = joined.select("doc_id", text.alias("text"), F.size("found").alias("n_entities"), F.transform("found", lambda x: x["kind"]).alias("kinds"))
     return clean.unionByName(replaced)

@@ -22,8 +22,11 @@ of the windows that it anchors, so no comparison needs another document.
 An anchor that occurs over HOT times is dealt by its windows instead, where equal
 rows stream, so no group grows with the corpus. Nothing is capped.
 
+Rows are named by a hash of doc_id and text, so neither null nor repeated ids gather.
+
 Defined cases: null text is empty; texts under LENGTH bytes keep all; rows that
-repeat a doc_id are documents of their own; an empty table gives an empty result.
+repeat a doc_id, or have none, are documents of their own; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -80,7 +84,8 @@ class Suffixes:
 
     def __init__(self, rows: list[tuple[bytes, int]]) -> None:
         self.rows = rows
-        self.prefix = [prefix_hashes(np.frombuffer(c, np.uint8)).tolist() for c, _ in rows]
+        # Packed, 8 bytes a position: up to HOT suffixes are held.
+        self.prefix = [array("Q", prefix_hashes(np.frombuffer(c, np.uint8)).tobytes()) for c, _ in rows]
         longest = max(len(c) for c, _ in rows) + 1
         self.inverse = powers(longest, inverse=True).tolist()
 
@@ -327,7 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     """One row per document: sizes, maximal removed runs and the hash (or bytes) of what is left."""
     gram = length // 2 if gram is None else gram
     parts = parallelism(docs.sparkSession)
-    rows = id_and_text(docs).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 62)))).withColumn("row", F.xxhash64("text"))
+    rows = id_and_text(docs).withColumn("k", F.xxhash64("doc_id", "text")).withColumn("row", F.xxhash64("text"))
     long = F.octet_length("text") >= length
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +347,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
 
     sent = rows.where(long).select("k", "text").mapInArrow(send, "h long, k long, n long")
     met = sent.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda it: _runs(it, hot), "k long, h long, total long")
-    wanted = met.groupBy("k").agg(F.collect_list("h").alias("hashes"), F.collect_list("total").alias("totals"))
+    # Sets, so that rows equal in all do not lengthen them: no more entries than a text has anchors.
+    pairs = met.groupBy("k").agg(F.collect_set(F.struct("h", "total")).alias("met"))
+    wanted = pairs.select("k", F.col("met.h").alias("hashes"), F.col("met.total").alias("totals"))
     joined = rows.join(wanted.withColumnRenamed("k", "wanted_k"), F.col("k") == F.col("wanted_k"), "left")
     # Both joins with the texts read the same columns and drop no row, so Spark deals the texts once.
     suffixes = joined.select("k", "text", "row", "hashes", "totals", "doc_id").mapInArrow(
@@ -350,6 +357,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     )
     dealt = suffixes.repartition(parts, "h").sortWithinPartitions("h", "content", "at")
     spans = dealt.mapInArrow(lambda it: _compare(it, length), "k long, row long, start long, stop long")
-    per_doc = spans.groupBy("k").agg(F.collect_list(F.struct("row", "start", "stop")).alias("spans")).withColumnRenamed("k", "spans_k")
+    per_doc = spans.groupBy("k").agg(F.collect_set(F.struct("row", "start", "stop")).alias("spans")).withColumnRenamed("k", "spans_k")
     final = rows.join(per_doc, F.col("k") == F.col("spans_k"), "left").select("doc_id", "text", "row", "spans", "k")
     return final.mapInArrow(lambda it: _cut(it, with_text), _RESULT + (", kept binary" if with_text else ""))
