@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontam, knn_quality, mixing, secret_scan, simhash
-from tidelog.llm.common import materialize
+from tidelog.llm.common import discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: the smallest doc_id. A row is a document, whatever its id."""
+    return simhash.keep_one(docs, by_row=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     *first, (_, last) = STAGES
-    return last(spark, functools.reduce(lambda d, s: materialize(s[1](spark, d, sf_dir)), first, docs), sf_dir)
+    for _, stage in first:
+        docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return last(spark, docs, sf_dir)
