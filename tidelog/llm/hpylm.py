@@ -1,47 +1,49 @@
 """Language-model scores from a hierarchical Pitman-Yor model (operator 7).
 
 A restaurant per context serves words: P(w|u) = ((c - d t) + (theta + d T) P(w)) /
-(theta + C). The context is the latest of the corpus's CONTEXTS most frequent words
-(or the start). All contexts share as parent the restaurant of P(w), whose base
-spells words. Spell is itself a hierarchy: the restaurant of a context of four bytes
-within the word has as parent the one of its last three, shared by all contexts that
-end so, and on to the restaurant without context, whose base is uniform over 256
-bytes and the end of a word. The customers of each parent are the tables of its
-children (Teh 2006; Mochihashi et al. 2009). So every word, known or not, has a
-probability.
+(theta + C). The context is the word before, or the start of the text. Restaurants are
+numbered by a hash of that word to WIDTH - 1 numbers, so at a large vocabulary rare
+words share theirs; the table of (word, context) pairs grows with the corpus, and what
+is kept of all contexts at once, two counts each, does not. All contexts share as
+parent the restaurant of P(w), whose base spells words. Spell is itself a hierarchy:
+the restaurant of a context of four bytes within the word has as parent the one of its
+last three, shared by all contexts that end so, and on to the restaurant without
+context, whose base is uniform over 256 bytes and the end of a word. The customers of
+each parent are the tables of its children (Teh 2006; Mochihashi et al. 2009). So every
+word, known or not, has a probability.
 
 Gibbs: in turn the customers of each dish leave together and are seated again one
 after another by the Chinese-restaurant rule, given the parent's predictive
 probabilities and the other dishes' tables. After BURN_IN rounds the predictive
 probabilities of SAMPLES rounds are averaged. Discounts are n1 / (n1 + 2 n2).
 
-Every previous word as a context would need a table of all word pairs, several times
-the corpus; the latest frequent word keeps it near the vocabulary. See the README.
-
-Spark: texts are cut into chunks, and each sends its distinct words once to a
-partition by hash, with counts. A partition's vocabulary is one packed row, kept as a
-table in the shared folder. In a round each partition sends its distinct byte
-contexts to buckets by their last two bytes, where all contexts that share parents
-meet; the bucket samples its restaurants and sends back probabilities. Restaurants of
-one byte of context and of none, 257 x 257 counts, are sampled on the driver; they are
-all that reaches it or is broadcast. Scores: each chunk's words get their values back
-by partition and chunk, and each text sums them. A very common word is sent once per
-chunk, a very common context once per partition.
+Spark: texts are cut into chunks, and each sends its distinct (word, context) pairs
+once to a partition of the vocabulary by the word's hash, with counts. There is a
+partition for every PART_BYTES of text. A partition's vocabulary is one packed row,
+kept as a table in the shared folder. In a round each partition sends its distinct byte
+contexts to one of BUCKETS buckets by their last two bytes, where all contexts that
+share parents meet; the bucket samples its restaurants and sends back probabilities.
+Restaurants of one byte of context and of none, 257 x 257 counts, are sampled on the
+driver; they and WIDTH counts of tables are all that reaches it or is broadcast.
+Scores: each chunk's pairs get their values back by partition and chunk, and each text
+sums them. A very common word is sent once per chunk, a very common context once per
+partition.
 
 Defined cases: null text is empty and has one token, the end; no training documents
 give counts of zero and the uniform spelling; equal rows are documents each; a null
-doc_id counts as the empty text for the choice of training rows.
+doc_id counts as the empty text for the choice of training rows; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,12 @@ S = 257  # bytes and the end (as context: the start) of a word
 ORDER = 4
 STRENGTH = 1.0
 WORD_STRENGTH = 1.0
-#: Frequent words that make contexts; context 0 is the start of a text.
-CONTEXTS = 16
+#: Numbers of contexts; 0 is the start of a text.
+WIDTH = 1 << 16
 CHUNK = 8 << 20
+#: Text for which there is a partition of the vocabulary, and buckets of byte contexts.
+PART_BYTES = 32 << 20
+BUCKETS = 128
 HOLD_OUT = 10
 
 
@@ -187,32 +192,27 @@ def sample_top(customers: np.ndarray, root: np.ndarray, rng: np.random.Generator
     return level.predict(root[key % S]).reshape(S, S), root
 
 
-def frequent_words(docs: DataFrame, k: int = CONTEXTS) -> list[bytes]:
-    """The k most frequent words of the training texts."""
+_CUT = "kind int, chunk long, part int, ids binary, sizes binary, index binary, words binary, owner binary, context binary, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches, CHUNK):
-            count: Counter = Counter()
-            for doc_id, text in zip(ids, texts, strict=True):
-                if not is_held_out(doc_id):
-                    count.update(text.lower().split())
-            least = sum(count.values()) / 2000
-            kept = [(w, n) for w, n in count.items() if n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    got = id_and_text(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in got.orderBy(F.desc("n"), "word").limit(k).collect()]
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
 
 
-_CUT = "kind int, chunk long, part int, ids binary, sizes binary, index binary, words binary, owner binary, context binary, counts binary"
+def _load(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
 
+def contexts_of(crc: np.ndarray) -> np.ndarray:
+    """Numbers of the contexts that words make, by their CRC-32."""
+    return (crc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % (WIDTH - 1) + 1
 
-def _cut(batches: Iterator[pa.RecordBatch], parts: int, frequent: list[bytes]) -> Iterator[pa.RecordBatch]:
+
+def _cut(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Texts -> one row of token indexes per chunk, and its distinct (word, context) by partition."""
-    width = len(frequent) + 1
     for ids, texts in chunks(batches, CHUNK):
         chunk = uuid.uuid4().int >> 65
-        known: dict[bytes, int] = {w: i for i, w in enumerate(frequent)}
+        known: dict[bytes, int] = {}
         sizes, index, train = [], [], []
         for doc_id, text in zip(ids, texts, strict=True):
             words = text.lower().split()
@@ -221,38 +221,47 @@ def _cut(batches: Iterator[pa.RecordBatch], parts: int, frequent: list[bytes]) -
             sizes.append(len(words))
             train.append(not is_held_out(doc_id))
         every = np.concatenate(index).astype(np.int64)
-        first = np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        seen = np.maximum.accumulate(np.where(every < len(frequent), np.arange(len(every)), -1))
-        seen = np.concatenate(([-1], seen[:-1]))
-        context = np.where(seen >= first, every[np.maximum(seen, 0)] + 1, 0)
-        pair, own = np.unique(every * width + context, return_inverse=True)
+        words = list(known)
+        crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+        context = np.concatenate(([0], contexts_of(crc)[every[:-1]]))
+        context[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = 0
+        pair, own = np.unique(every * WIDTH + context, return_inverse=True)
         learnt = np.repeat(np.array(train), sizes)
         count = np.bincount(own[learnt], minlength=len(pair))
-        words = list(known)
-        part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))[pair // width]
+        part = (crc % parts)[pair // WIDTH]
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(pair), np.int32)
         rank[order] = np.arange(len(pair), dtype=np.int32)
         bound = np.searchsorted(part[order], np.arange(parts + 1))
         raw_ids = np.array([0 if i is None else i for i in ids], "<i8")
         flags = np.array([2 * (i is None) + (not t) for i, t in zip(ids, train, strict=True)], "<i4")
-        rows = [(0, chunk, -1, raw_ids.tobytes(), np.array(sizes, "<i4").tobytes() + flags.tobytes(), rank[own].tobytes(), None, None, None, None)]
-        for p in range(parts):
+        rows = [(0, chunk, -1, raw_ids.tobytes(), np.array(sizes, "<i4").tobytes() + flags.tobytes(), _pack(rank[own]), None, None, None, None)]
+        for p in np.flatnonzero(np.diff(bound)).tolist():
             at = order[bound[p] : bound[p + 1]]
-            if len(at):
-                used, owner = np.unique(pair[at] // width, return_inverse=True)
-                rows.append((1, chunk, p, None, None, None, b" ".join([words[i] for i in used.tolist()]), owner.astype("<i4").tobytes(), (pair[at] % width).astype(np.uint8).tobytes(), count[at].astype("<i4").tobytes()))
+            used, owner = np.unique(pair[at] // WIDTH, return_inverse=True)
+            # Pairs are in order of their words, so the owners are told by how many each has.
+            many = np.bincount(owner).astype("<u4")
+            rows.append((1, chunk, p, None, None, None, _packed(words[i] for i in used.tolist()), _pack(many), (pair[at] % WIDTH).astype("<u2").tobytes(), _pack(count[at].astype("<u4"))))
         kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_CUT))
 
 
-#: pairs: word index x WIDTH + context, sorted; counts, tables and sums are by pair, tops (tables of the parent) by word.
-_VOCAB = "part int, words binary, pairs binary, counts binary, tables binary, tops binary, sums binary"
-WIDTH = 256
+def _packed(words) -> bytes:
+    return zstandard.compress(b" ".join(words), 1)
+
+
+def _split(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
+
+
+#: Of a partition: its words; how many pairs each has, and their contexts, sorted; counts and tables by pair; tops
+#: (tables of the parent) by word; and of each sampled round the tables by pair and P(w) by word.
+_VOCAB = "part int, words binary, many binary, contexts binary, counts binary, tables binary, tops binary, kept array<binary>"
 
 
 def _row(*values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 6), strict=True)], names=_names(_VOCAB))
+    kinds = (pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=_names(_VOCAB))
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +273,22 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(part: int, known: dict[bytes, int], held: list) -> pa.RecordBatch:
         ((pair, count),) = merge(held)
-        served = np.bincount(pair // WIDTH, count > 0, minlength=len(known)) > 0
-        return _row(part, b" ".join(known), pair.tobytes(), count.tobytes(), (count > 0).astype(np.int64).tobytes(), served.astype(np.int64).tobytes(), np.zeros(len(pair)).tobytes())
+        word = pair // WIDTH
+        served = np.bincount(word, count > 0, minlength=len(known)) > 0
+        many = np.bincount(word, minlength=len(known)).astype("<u4")
+        tables = (count > 0).astype("<u4")
+        return _row(part, _packed(known), _pack(many), (pair % WIDTH).astype("<u2").tobytes(), _pack(count.astype("<u4")), _pack(tables), _pack(served.astype("<u4")), [])
 
     part, known, held = None, {}, []
     for batch in batches:
-        for p, words, owner, context, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for p, words, many, context, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != part:
                 if part is not None:
                     yield close(part, known, held)
                 part, known, held = p, {}, []
-            at = np.array([known.setdefault(w, len(known)) for w in words.split(b" ")], np.int64)
-            held.append((at[np.frombuffer(owner, "<i4")] * WIDTH + np.frombuffer(context, np.uint8), np.frombuffer(counts, "<i4")))
-            if sum(len(x) for x, _ in held) > 1 << 22:
+            at = np.array([known.setdefault(w, len(known)) for w in _split(words)], np.int64)
+            held.append((np.repeat(at, _load(many, "<u4")) * WIDTH + np.frombuffer(context, "<u2"), _load(counts, "<u4")))
+            if sum(len(x) for x, _ in held[1:]) > max(1 << 21, len(held[0][0])):
                 held = merge(held)
     if part is not None:
         yield close(part, known, held)
@@ -289,23 +301,47 @@ class Totals:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(2 * WIDTH + 8, np.int64)
             for batch in batches:
-                for pairs, counts, tables, tops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    pair, c, t, top = (np.frombuffer(x, np.int64) for x in (pairs, counts, tables, tops))
-                    sums[:WIDTH] += np.bincount(pair % WIDTH, c, minlength=WIDTH).astype(np.int64)
-                    sums[WIDTH : 2 * WIDTH] += np.bincount(pair % WIDTH, t, minlength=WIDTH).astype(np.int64)
-                    up = np.bincount(pair // WIDTH, t, minlength=len(top))
-                    sums[2 * WIDTH :] += [c.sum(), (np.bincount(pair // WIDTH, c, minlength=len(top)) > 0).sum(), t.sum(), top.sum(), (c == 1).sum(), (c == 2).sum(), (up == 1).sum(), (up == 2).sum()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["i", "n"])
-
-        got = vocab.select("pairs", "counts", "tables", "tops").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+                for many, contexts, counts, tables, tops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    many, c, t, top = (_load(x, "<u4") for x in (many, counts, tables, tops))
+                    context = np.frombuffer(contexts, "<u2")
+                    sums[:WIDTH] += np.bincount(context, c, minlength=WIDTH).astype(np.int64)
+                    sums[WIDTH : 2 * WIDTH] += np.bincount(context, t, minlength=WIDTH).astype(np.int64)
+                    word = np.repeat(np.arange(len(many)), many)
+                    up = np.bincount(word, t, minlength=len(top))
+                    served = np.bincount(word, c, minlength=len(top)) > 0
+                    sums[2 * WIDTH :] += [int(x.sum()) for x in (c, served, t, top, c == 1, c == 2, up == 1, up == 2)]
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["i", "n"])
+
+        # Some partitions a task: each sends WIDTH sums.
+        some = vocab.coalesce(max(1, min(parallelism(vocab.sparkSession), -(-vocab.count() // 8))))
+        got = some.select("many", "contexts", "counts", "tables", "tops").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
         sums = np.zeros(2 * WIDTH + 8, np.int64)
-        for row in got.collect():  # 2 WIDTH + 8 sums
-            sums[row.i] = row.n
+        found = got.toArrow()  # 2 WIDTH + 8 sums
+        sums[found.column("i").to_numpy()] = found.column("n").to_numpy()
         self.customers, self.tables = sums[:WIDTH], sums[WIDTH : 2 * WIDTH]
         self.n, self.v, self.parent_customers, self.parent_tables, one, two, up_one, up_two = sums[2 * WIDTH :].tolist()
         self.discount = float(np.clip(one / max(1, one + 2 * two), 0.1, 0.95))
         self.parent_discount = float(np.clip(up_one / max(1, up_one + 2 * up_two), 0.1, 0.95))
 
+    def reach(self) -> np.ndarray:
+        """The weight of the parent in each context: theta + d T."""
+        return WORD_STRENGTH + self.discount * self.tables
+
+
+def seat_words(word: np.ndarray, context: np.ndarray, count: np.ndarray, table: np.ndarray, top: np.ndarray, spell: np.ndarray, totals: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, then the parent's dishes, seated again -> (tables, the parent's tables, P(w))."""
+    d0, d1 = totals.parent_discount, totals.discount
+    base = (WORD_STRENGTH + d0 * totals.parent_tables) * spell
+
+    def parent(table: np.ndarray, top: np.ndarray) -> np.ndarray:
+        up = np.bincount(word, table, minlength=len(top))
+        return (np.maximum(up - d0 * top, 0) + base) / (WORD_STRENGTH + totals.parent_customers)
+
+    table = seat(count, totals.reach()[context] * parent(table, top)[word], d1, rng)
+    top = seat(np.bincount(word, table, minlength=len(top)).astype(np.int64), base, d0, rng)
+    return table, top, parent(table, top)
+
 
 _ASKED = "bucket int, part int, codes binary, n binary"
 
@@ -320,14 +356,14 @@ def _ask(vocab: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words, tables in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                code, start = _codes(words.split(b" "))
-                weight = np.repeat(np.frombuffer(tables, np.int64), np.diff(np.concatenate((start, [len(code)]))))
+                code, start = _codes(_split(words))
+                weight = np.repeat(_load(tables, "<u4").astype(np.int64), np.diff(np.concatenate((start, [len(code)]))))
                 key, own = np.unique(code, return_inverse=True)
                 n = np.bincount(own, weight).astype(np.int64)
                 bucket = _bucket(key, buckets)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                rows = [(int(bucket[at[0]]), part, key[at].tobytes(), n[at].tobytes()) for at in np.split(order, edge[1:])]
+                rows = [(int(bucket[at[0]]), part, key[at].tobytes(), _pack(n[at])) for at in np.split(order, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "part", "codes", "n"])
 
     return vocab.select("part", "words", "tops").mapInArrow(run, _ASKED)
@@ -339,7 +375,7 @@ def _sample_buckets(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, seed:
     def close(bucket: int, rows: list) -> pa.RecordBatch:
         codes = [np.frombuffer(c, np.int64) for _, c, _ in rows]
         code, own = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(own, np.concatenate([np.frombuffer(x, np.int64) for *_, x in rows]), minlength=len(code)).astype(np.int64)
+        n = np.bincount(own, np.concatenate([_load(x, "<i8") for *_, x in rows]), minlength=len(code)).astype(np.int64)
         p, key, customers = sample_contexts(code, n, pairs, np.random.default_rng([seed, bucket]))
         at = np.split(own, np.cumsum([len(c) for c in codes])[:-1])
         out = [(part, bucket, np.log10(p[i]).astype("<f4").tobytes()) for (part, *_), i in zip(rows, at, strict=True)]
@@ -362,28 +398,22 @@ def _reseat(batches: Iterator[pa.RecordBatch], buckets: int, totals: Totals, see
     """A part's vocabulary, then its answers by bucket -> the vocabulary seated again."""
 
     def close(state: tuple, values: dict[int, bytes]) -> pa.RecordBatch:
-        part, words, pairs, counts, tables, tops, sums = state
+        part, words, many, contexts, counts, tables, tops, kept = state
         rng = np.random.default_rng([seed, part])
-        code, start = _codes(words.split(b" "))
+        code, start = _codes(_split(words))
         key, own = np.unique(code, return_inverse=True)
         order = np.argsort(_bucket(key, buckets), kind="stable")
         p = np.empty(len(key))
         p[order] = np.concatenate([np.frombuffer(values[b], "<f4") for b in sorted(values)])
-        pair, count, table, top = (np.frombuffer(x, np.int64) for x in (pairs, counts, tables, tops))
-        word, context, d0, d1 = pair // WIDTH, pair % WIDTH, totals.parent_discount, totals.discount
-        spelled = (WORD_STRENGTH + d0 * totals.parent_tables) * 10.0 ** np.add.reduceat(p[own], start)
-        reach = (WORD_STRENGTH + d1 * totals.tables)[context]
-
-        def parent() -> np.ndarray:
-            up = np.bincount(word, table, minlength=len(top))
-            return ((np.maximum(up - d0 * top, 0) + spelled) / (WORD_STRENGTH + totals.parent_customers))[word]
-
-        table = seat(count, reach * parent(), d1, rng)
-        top = seat(np.bincount(word, table, minlength=len(top)).astype(np.int64), spelled, d0, rng)
-        total = np.frombuffer(sums, np.float64)
+        size = _load(many, "<u4")
+        word, context = np.repeat(np.arange(len(size)), size), np.frombuffer(contexts, "<u2")
+        count, table, top = (_load(x, "<u4").astype(np.int64) for x in (counts, tables, tops))
+        spell = 10.0 ** np.add.reduceat(p[own], start)
+        table, top, parent = seat_words(word, context, count, table, top, spell, totals, rng)
+        tables = _pack(table.astype("<u4"))
         if keep:
-            total = total + (np.maximum(count - d1 * table, 0) + reach * parent()) / (WORD_STRENGTH + totals.customers)[context]
-        return _row(part, words, pairs, counts, table.tobytes(), top.tobytes(), total.tobytes())
+            kept = [*kept, tables, np.log10(np.maximum(parent, 1e-300)).astype("<f4").tobytes()]
+        return _row(part, words, many, contexts, counts, tables, _pack(top.astype("<u4")), kept)
 
     state, values = None, {}
     for batch in batches:
@@ -402,53 +432,68 @@ def _round(vocab: DataFrame, pairs: np.ndarray, totals: Totals, seed: int, keep:
     """One round: the next vocabulary and the customers of the one-byte restaurants."""
     spark = vocab.sparkSession
     deal = parallelism(spark)
-    shared = spark.sparkContext.broadcast(pairs)
-    asked = _ask(vocab, deal).repartition(deal, "bucket").sortWithinPartitions("bucket", "part")
+    shared, sums = spark.sparkContext.broadcast(pairs), spark.sparkContext.broadcast(totals)
+    asked = _ask(vocab, BUCKETS).repartition(deal, "bucket").sortWithinPartitions("bucket", "part")
     told = materialize(asked.mapInArrow(lambda it: _sample_buckets(it, shared.value, seed), "part int, bucket int, values binary"))
     customers = np.zeros(S * S, np.int64)
     for row in told.where("part = -1").select("values").toLocalIterator():  # 257 x 257 counts in all
         key, n = np.frombuffer(row[0], np.int64).reshape(2, -1)
         customers[key] += n
-    blobs = _names(_VOCAB)[1:]
-    state = vocab.select(F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "part", *blobs)
-    answers = told.where("part >= 0").select("bucket", F.col("values").alias("answer"), "part", *[F.lit(None).cast("binary").alias(c) for c in blobs])
+    blank = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _VOCAB.split(", ")[1:]]
+    state = vocab.select(F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), *_names(_VOCAB))
+    answers = told.where("part >= 0").select("bucket", F.col("values").alias("answer"), "part", *blank)
     met = state.unionByName(answers).repartition(deal, "part").sortWithinPartitions("part", "bucket")
-    seated = materialize(met.mapInArrow(lambda it: _reseat(it, deal, totals, seed, keep), _VOCAB))
+    seated = materialize(met.mapInArrow(lambda it: _reseat(it, BUCKETS, sums.value, seed, keep), _VOCAB))
     discard(told)
     discard(vocab)
     return seated, customers
 
 
-def train(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, Totals]:
-    """The vocabulary with summed predictive probabilities, and its totals."""
-    totals = Totals(vocab)
+def train(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, list[Totals]]:
+    """The vocabulary with the tables of sampled rounds, and the totals of each of them."""
+    totals, kept = Totals(vocab), []
     root = np.full(S, 1 / S)
     pairs = np.full((S, S), 1 / S)
     for r in range(burn_in + samples):
         vocab, customers = _round(vocab, pairs, totals, r, r >= burn_in)
         pairs, root = sample_top(customers, root, np.random.default_rng([r, 999]))
         totals = Totals(vocab)
-    return vocab, totals
+        if r >= burn_in:
+            kept.append(totals)
+    return vocab, kept
+
 
+def predictive(word: np.ndarray, context: np.ndarray, count: np.ndarray, kept: list[bytes], totals: list[Totals]) -> np.ndarray:
+    """P(w|u) of each pair, averaged over the sampled rounds."""
+    out = np.zeros(len(word))
+    for tables, parent, own in zip(kept[::2], kept[1::2], totals, strict=True):
+        up = 10.0 ** np.frombuffer(parent, "<f4").astype(float)[word]
+        out += (np.maximum(count - own.discount * _load(tables, "<u4"), 0) + own.reach()[context] * up) / (WORD_STRENGTH + own.customers)[context]
+    return out / max(1, len(totals))
 
-def _answers(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.RecordBatch]:
-    """Vocabulary (kind 0) then word rows (kind 1) of each part -> each chunk's values."""
+
+def _answers(batches: Iterator[pa.RecordBatch], totals: list[Totals]) -> Iterator[pa.RecordBatch]:
+    """Vocabulary then word rows of each part -> each chunk's values: counts by word, log10 P by pair."""
     known: dict[bytes, int] = {}
-    pair = count = value = None
+    pair = seen = value = None
     for batch in batches:
         out = []
-        for chunk, part, words, owner, context, pairs, counts, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for chunk, part, words, many, contexts, counts, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            size = _load(many, "<u4")
+            context = np.frombuffer(contexts, "<u2")
             if chunk is None:
-                known = {w: i for i, w in enumerate(words.split(b" "))}
-                pair = np.frombuffer(pairs, np.int64)
-                count = np.bincount(pair // WIDTH, np.frombuffer(counts, np.int64), minlength=len(known)).astype(np.int64)
-                value = np.log10(np.maximum(np.frombuffer(sums, np.float64) / samples, 1e-300)).astype("<f4")
+                known = {w: i for i, w in enumerate(_split(words))}
+                word, count = np.repeat(np.arange(len(size)), size), _load(counts, "<u4")
+                pair = word * WIDTH + context
+                seen = np.bincount(word, count, minlength=len(known)).astype("<u4")
+                value = np.log10(np.maximum(predictive(word, context, count, kept, totals), 1e-300)).astype("<f4")
             else:
-                own = np.array([known[w] for w in words.split(b" ")], np.int64)[np.frombuffer(owner, "<i4")]
-                at = np.searchsorted(pair, own * WIDTH + np.frombuffer(context, np.uint8))
-                out.append((chunk, part, count[own].tobytes(), value[at].tobytes()))
+                own = np.array([known[w] for w in _split(words)], np.int64)
+                at = np.searchsorted(pair, np.repeat(own, size) * WIDTH + context)
+                out.append((chunk, part, _pack(seen[own]), many, value[at].tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "part", "count", "value"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "part", "count", "many", "value"])
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -459,10 +504,10 @@ def _sum_up(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Re
 
     def close(held: list) -> pa.RecordBatch:
         ids, sizes, index, counts, values = held
-        ids, index = np.frombuffer(ids, "<i8"), np.frombuffer(index, "<i4")
+        ids, index = np.frombuffer(ids, "<i8"), _load(index, "<i4")
         both = np.frombuffer(sizes, "<i4")
         sizes, flags = both[: len(ids)], both[len(ids) :]
-        count = np.frombuffer(b"".join(counts), np.int64)
+        count = np.concatenate([np.repeat(_load(c, "<u4"), _load(m, "<u4")) for c, m in counts]).astype(np.int64)
         value = np.frombuffer(b"".join(values), "<f4").astype(np.float64)
         base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
         start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -472,13 +517,13 @@ def _sum_up(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Re
 
     held = None
     for batch in batches:
-        for part, ids, sizes, index, count, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, ids, sizes, index, count, many, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part < 0:
                 if held:
                     yield close(held)
                 held = [ids, sizes, index, [], []]
             else:
-                held[3].append(count)
+                held[3].append((count, many))
                 held[4].append(value)
     if held:
         yield close(held)
@@ -487,19 +532,23 @@ def _sum_up(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Re
 def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """One row per document: tokens, base score and the model's log10 probability."""
     deal = parallelism(docs.sparkSession)
-    frequent = frequent_words(docs)
-    cut = materialize(id_and_text(docs).mapInArrow(lambda it: _cut(it, deal, frequent), _CUT))
+    rows = id_and_text(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4, -(-size // PART_BYTES))
+    cut = materialize(rows.mapInArrow(lambda it: _cut(it, parts), _CUT))
     words = cut.where("kind = 1")
     asked = words.select("part", "words", "owner", "context", "counts")
     vocab = materialize(asked.repartition(deal, "part").sortWithinPartitions("part").mapInArrow(_vocabulary, _VOCAB))
     vocab, totals = train(vocab, burn_in, samples)
-    none = F.lit(None)
-    blank = lambda *names: [none.cast("binary").alias(c) for c in names]
-    asked = words.select("chunk", "part", "words", "owner", "context", *blank("pairs", "counts", "sums"))
-    both = vocab.select(none.cast("long").alias("chunk"), "part", "words", *blank("owner", "context"), "pairs", "counts", "sums").unionByName(asked)
-    answers = both.repartition(deal, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first()).mapInArrow(lambda it: _answers(it, samples), "chunk long, part int, count binary, value binary")
-    texts = cut.where("kind = 0").select("chunk", "part", "ids", "sizes", "index", none.cast("binary").alias("count"), none.cast("binary").alias("value"))
-    back = texts.unionByName(answers.select("chunk", "part", *[none.cast("binary").alias(c) for c in ("ids", "sizes", "index")], "count", "value"))
-    n, v = totals.n, totals.v
-    ordered = back.repartition(deal, "chunk").sortWithinPartitions("chunk", "part").select("part", "ids", "sizes", "index", "count", "value")
-    return ordered.mapInArrow(lambda it: _sum_up(it, n, v), _RESULT)
+    shared = docs.sparkSession.sparkContext.broadcast(totals)
+    blank = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    asked = words.select("chunk", "part", "words", F.col("owner").alias("many"), F.col("context").alias("contexts"), *blank("counts"), F.lit(None).cast("array<binary>").alias("kept"))
+    both = vocab.select(F.lit(None).cast("long").alias("chunk"), "part", "words", "many", "contexts", "counts", "kept").unionByName(asked)
+    ordered = both.repartition(deal, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
+    answers = materialize(ordered.mapInArrow(lambda it: _answers(it, shared.value), "chunk long, part int, count binary, many binary, value binary"))
+    discard(vocab)
+    texts = cut.where("kind = 0").select("chunk", "part", "ids", "sizes", "index", *blank("count", "many", "value"))
+    back = texts.unionByName(answers.select("chunk", "part", *blank("ids", "sizes", "index"), "count", "many", "value"))
+    n, v = (totals[-1].n, totals[-1].v) if totals else (0, 0)
+    dealt = back.repartition(deal, "chunk").sortWithinPartitions("chunk", "part").select("part", "ids", "sizes", "index", "count", "many", "value")
+    return dealt.mapInArrow(lambda it: _sum_up(it, n, v), _RESULT)
