@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of plans that nothing holds any more."""
+    gc.collect()  # drops the references that Python holds on the driver's objects
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     spark = df.sparkSession

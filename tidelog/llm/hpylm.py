@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, id_and_text, materialize, parallelism
+from .common import chunks, discard, id_and_text, materialize, parallelism, release
 from .wordbytes import mix
 
 BURN_IN, SAMPLES = 2, 3
@@ -451,12 +451,14 @@ def _round(vocab: DataFrame, pairs: np.ndarray, totals: Totals, seed: int, keep:
 
 def train(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, list[Totals]]:
     """The vocabulary with the tables of sampled rounds, and the totals of each of them."""
+    release(vocab.sparkSession)
     totals, kept = Totals(vocab), []
     root = np.full(S, 1 / S)
     pairs = np.full((S, S), 1 / S)
     for r in range(burn_in + samples):
         vocab, customers = _round(vocab, pairs, totals, r, r >= burn_in)
         pairs, root = sample_top(customers, root, np.random.default_rng([r, 999]))
+        release(vocab.sparkSession)  # this round's shuffles
         totals = Totals(vocab)
         if r >= burn_in:
             kept.append(totals)
