@@ -90,7 +90,7 @@ def test_seating_matches_customers_one_by_one():
         assert ((table >= 1) & (table <= count)).all() and (top <= np.bincount(word, table)).all()
         if r >= 100:
             now = sums(count, context, table, top)
-            got += hpylm.predictive(word, context, count, [hpylm._pack(table.astype("<u4")), np.log10(up).astype("<f4").tobytes()], [_Wide(now)])
+            got += hpylm.predictive(word, context, count, [hpylm._pack(np.log10(up).astype("<f4")), hpylm._pack(table.astype("<u4"))], [_Wide(now)])
     assert np.abs(got / rounds - want[context, word]).max() < 0.02
 
 

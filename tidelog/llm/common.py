@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -55,8 +56,10 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files of plans that nothing holds any more."""
+    spark.range(1).count()  # the session holds on to the plan that ran last
     gc.collect()  # drops the references that Python holds on the driver's objects
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works behind
 
 
 def discard(df: DataFrame) -> None:

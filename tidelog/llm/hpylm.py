@@ -196,11 +196,18 @@ _CUT = "kind int, chunk long, part int, ids binary, sizes binary, index binary,
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Compressed by byte planes: the high bytes of small numbers cost next to nothing."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
 
 def _load(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """float32 with 15 bits of fraction, so that they compress."""
+    return ((x.astype("<f4").view("<u4") + np.uint32(128)) & np.uint32(0xFFFFFF00)).view("<f4")
 
 
 def contexts_of(crc: np.ndarray) -> np.ndarray:
@@ -255,7 +262,7 @@ def _split(data: bytes) -> list[bytes]:
 
 
 #: Of a partition: its words; how many pairs each has, and their contexts, sorted; counts and tables by pair; tops
-#: (tables of the parent) by word; and of each sampled round the tables by pair and P(w) by word.
+#: (tables of the parent) by word; and log10 of the sum of P(w) over sampled rounds by word, then of each the tables by pair.
 _VOCAB = "part int, words binary, many binary, contexts binary, counts binary, tables binary, tops binary, kept array<binary>"
 
 
@@ -412,7 +419,8 @@ def _reseat(batches: Iterator[pa.RecordBatch], buckets: int, totals: Totals, see
         table, top, parent = seat_words(word, context, count, table, top, spell, totals, rng)
         tables = _pack(table.astype("<u4"))
         if keep:
-            kept = [*kept, tables, np.log10(np.maximum(parent, 1e-300)).astype("<f4").tobytes()]
+            summed = parent + (10.0 ** _load(kept[0], "<f4").astype(float) if kept else 0)
+            kept = [_pack(np.log10(np.maximum(summed, 1e-300)).astype("<f4")), *kept[1:], tables]
         return _row(part, words, many, contexts, counts, tables, _pack(top.astype("<u4")), kept)
 
     state, values = None, {}
@@ -466,12 +474,14 @@ def train(vocab: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> t
 
 
 def predictive(word: np.ndarray, context: np.ndarray, count: np.ndarray, kept: list[bytes], totals: list[Totals]) -> np.ndarray:
-    """P(w|u) of each pair, averaged over the sampled rounds."""
+    """P(w|u) of each pair, averaged over the sampled rounds; P(w), that varies least, is averaged beforehand."""
     out = np.zeros(len(word))
-    for tables, parent, own in zip(kept[::2], kept[1::2], totals, strict=True):
-        up = 10.0 ** np.frombuffer(parent, "<f4").astype(float)[word]
+    if not kept:
+        return out
+    up = 10.0 ** _load(kept[0], "<f4").astype(float)[word] / len(totals)
+    for tables, own in zip(kept[1:], totals, strict=True):
         out += (np.maximum(count - own.discount * _load(tables, "<u4"), 0) + own.reach()[context] * up) / (WORD_STRENGTH + own.customers)[context]
-    return out / max(1, len(totals))
+    return out / len(totals)
 
 
 def _answers(batches: Iterator[pa.RecordBatch], totals: list[Totals]) -> Iterator[pa.RecordBatch]:
@@ -488,11 +498,11 @@ def _answers(batches: Iterator[pa.RecordBatch], totals: list[Totals]) -> Iterato
                 word, count = np.repeat(np.arange(len(size)), size), _load(counts, "<u4")
                 pair = word * WIDTH + context
                 seen = np.bincount(word, count, minlength=len(known)).astype("<u4")
-                value = np.log10(np.maximum(predictive(word, context, count, kept, totals), 1e-300)).astype("<f4")
+                value = _rounded(np.log10(np.maximum(predictive(word, context, count, kept, totals), 1e-300)))
             else:
                 own = np.array([known[w] for w in _split(words)], np.int64)
                 at = np.searchsorted(pair, np.repeat(own, size) * WIDTH + context)
-                out.append((chunk, part, _pack(seen[own]), many, value[at].tobytes()))
+                out.append((chunk, part, _pack(seen[own]), many, _pack(value[at])))
         if out:
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "part", "count", "many", "value"])
@@ -510,7 +520,7 @@ def _sum_up(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Re
         both = np.frombuffer(sizes, "<i4")
         sizes, flags = both[: len(ids)], both[len(ids) :]
         count = np.concatenate([np.repeat(_load(c, "<u4"), _load(m, "<u4")) for c, m in counts]).astype(np.int64)
-        value = np.frombuffer(b"".join(values), "<f4").astype(np.float64)
+        value = np.concatenate([_load(v, "<f4") for v in values]).astype(np.float64)
         base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
         start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         known, base, score = (np.add.reduceat(x[index], start) for x in ((count > 0).astype(np.int64), base, value))
@@ -531,6 +541,16 @@ def _sum_up(batches: Iterator[pa.RecordBatch], n: int, v: int) -> Iterator[pa.Re
         yield close(held)
 
 
+def _told(words: DataFrame, vocab: DataFrame, totals: list[Totals]) -> DataFrame:
+    """(chunk, part, count, many, value): what each chunk's pairs are worth."""
+    spark = vocab.sparkSession
+    shared, nothing = spark.sparkContext.broadcast(totals), F.lit(None)
+    asked = words.select("chunk", "part", "words", F.col("owner").alias("many"), F.col("context").alias("contexts"), nothing.cast("binary").alias("counts"), nothing.cast("array<binary>").alias("kept"))
+    both = vocab.select(nothing.cast("long").alias("chunk"), "part", "words", "many", "contexts", "counts", "kept").unionByName(asked)
+    ordered = both.repartition(parallelism(spark), "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
+    return materialize(ordered.mapInArrow(lambda it: _answers(it, shared.value), "chunk long, part int, count binary, many binary, value binary"))
+
+
 def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """One row per document: tokens, base score and the model's log10 probability."""
     deal = parallelism(docs.sparkSession)
@@ -542,13 +562,11 @@ def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMP
     asked = words.select("part", "words", "owner", "context", "counts")
     vocab = materialize(asked.repartition(deal, "part").sortWithinPartitions("part").mapInArrow(_vocabulary, _VOCAB))
     vocab, totals = train(vocab, burn_in, samples)
-    shared = docs.sparkSession.sparkContext.broadcast(totals)
-    blank = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    asked = words.select("chunk", "part", "words", F.col("owner").alias("many"), F.col("context").alias("contexts"), *blank("counts"), F.lit(None).cast("array<binary>").alias("kept"))
-    both = vocab.select(F.lit(None).cast("long").alias("chunk"), "part", "words", "many", "contexts", "counts", "kept").unionByName(asked)
-    ordered = both.repartition(deal, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
-    answers = materialize(ordered.mapInArrow(lambda it: _answers(it, shared.value), "chunk long, part int, count binary, many binary, value binary"))
+    release(docs.sparkSession)
+    answers = _told(words, vocab, totals)
     discard(vocab)
+    release(docs.sparkSession)
+    blank = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     texts = cut.where("kind = 0").select("chunk", "part", "ids", "sizes", "index", *blank("count", "many", "value"))
     back = texts.unionByName(answers.select("chunk", "part", *blank("ids", "sizes", "index"), "count", "many", "value"))
     n, v = (totals[-1].n, totals[-1].v) if totals else (0, 0)
