@@ -77,11 +77,10 @@ def join_back(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, ho
     shuffle; so no task gets more rows than its share. ``rows`` is read twice.
     """
     spark = rows.sparkSession
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    least = (total or 0) / (4 * parallelism(spark))
-    if (most or 0) <= least:
-        return rows.join(table, key, how)
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / (4 * parallelism(spark))
     hot = [r[0] for r in counts.where(F.col("n") > least).select(key).collect()]  # 4 x partitions at most
+    if not hot:
+        return rows.join(table, key, how)
     names = spark.createDataFrame([(x,) for x in hot], f"{key} {rows.schema[key].dataType.simpleString()}")
     big = rows.join(F.broadcast(names), key, "left_semi").join(F.broadcast(table.join(F.broadcast(names), key, "left_semi")), key, how)
     return big.unionByName(rows.join(F.broadcast(names), key, "left_anti").join(table, key, how))

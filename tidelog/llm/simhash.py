@@ -11,9 +11,8 @@ follows only edges within the radius of its own distance. The named method broad
 the shard trees; here a tree travels by shuffle to the task that queries it, since
 fingerprints of all documents must not pass through the driver and have no size
 bound. Shards with over ``SHARD_ROWS`` fingerprints are split again by blocks of the
-remaining bits, which again loses no link; what is over it even then is cut in parts, of
-which every two meet in a task. Of a shard's links only those that join two of its
-components are emitted: as many as fingerprints at most.
+remaining bits, which again loses no link. Of a shard's links only those that join
+two of its components are emitted: as many as fingerprints at most.
 
 ``keep_one``, the pipeline's stage, takes word 5-shingles and a Jaccard similarity of
 0.8; see ``similar_keepers``. There too the cases below hold.
@@ -95,53 +94,59 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def shard_forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Indexes of links that join a shard's components, by a BK-tree.
+class BKTree:
+    """Nodes with children keyed by Hamming distance to the parent."""
 
-    A subtree known to lie in one component is left out once the query is part of it,
-    so a large group of near copies costs about one comparison a member.
-    """
-    children: list[dict[int, int]] = []
-    root, label, links = list(range(len(values))), list(range(len(values))), []
+    def __init__(self) -> None:
+        self.values: list[int] = []
+        self.children: list[dict[int, int]] = []
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def add(self, value: int) -> None:
+        self.values.append(value)
+        self.children.append({})
+        new = len(self.values) - 1
+        at = 0
+        while at != new:
+            at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
 
-    for i, value in enumerate(values):
-        todo = [0] if i else []
+    def within(self, value: int, radius: int) -> list[int]:
+        """Indexes of the nodes at most ``radius`` bits away."""
+        if not self.values:
+            return []
+        found, todo = [], [0]
+        values, children = self.values, self.children
         while todo:
             at = todo.pop()
             far = (values[at] ^ value).bit_count()
-            if far <= radius and find(at) != find(i):
-                root[find(i)] = find(at)
-                links.append((i, at))
-            mine = find(i)
-            for k, child in children[at].items():
-                if far - radius <= k <= far + radius and (label[child] < 0 or find(label[child]) != mine):
-                    todo.append(child)
-        children.append({})
-        at, mine = 0, find(i)
-        while at != i:
-            if label[at] >= 0 and find(label[at]) != mine:
-                label[at] = -1
-            at = children[at].setdefault((values[at] ^ value).bit_count(), i)
-    return links
+            if far <= radius:
+                found.append(at)
+            edges = children[at]
+            if len(edges) > 2 * radius:
+                todo += [edges[k] for k in range(far - radius, far + radius + 1) if k in edges]
+            else:
+                todo += [child for k, child in edges.items() if far - radius <= k <= far + radius]
+        return found
 
 
-def _dealt(parts: Column, name: Column) -> Column:
-    """Pairs of blocks that one of ``parts`` blocks goes to: any two rows meet in at least one pair."""
-    block = F.pmod(F.xxhash64(name), parts)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: k != block)
-    pairs = F.transform(others, lambda k: F.struct(F.least(k, block).alias("a"), F.greatest(k, block).alias("b")))
-    return F.when(parts > 1, pairs).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
+def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links of one shard that join its components: a spanning forest."""
+    tree, links = BKTree(), []
+    root = list(range(len(values)))
 
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def _parts(share: Column) -> Column:
-    """Blocks for a group: two of them make a share of 1 at most."""
-    return F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("long")
+    for i, value in enumerate(values):
+        for j in tree.within(value, radius):
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                links.append((value, values[j]))
+        tree.add(value)
+    return links
 
 
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:
@@ -154,10 +159,7 @@ def _mask(bits: list[int]) -> int:
 
 
 def _sharded(fps: DataFrame, radius: int) -> DataFrame:
-    """(shard, fp): each fingerprint once per block, or per two blocks in large shards.
-
-    What is large even so is dealt in parts, of which every two meet as (a, b).
-    """
+    """(shard, fp): each fingerprint once per block, or per two blocks in large shards."""
     blocks = _blocks(list(range(BITS)), radius + 1)
     masks = [F.lit(_mask(b)) for b in blocks]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(m).alias("value")) for i, m in enumerate(masks)])).alias("s"))
@@ -171,21 +173,13 @@ def _sharded(fps: DataFrame, radius: int) -> DataFrame:
         finer = F.when(F.col("block") == i, F.array(*subs)).otherwise(finer)
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subvalue")))
     keyed = keyed.withColumn("f", F.explode(F.when(F.col("large"), finer).otherwise(whole)))
-    keyed = keyed.select("block", "value", "f.sub", "f.subvalue", "fp")
-    keys = ["block", "value", "sub", "subvalue"]
-    dense = keyed.where("sub >= 0").groupBy(*keys).count().where(F.col("count") > SHARD_ROWS)
-    dealt = keyed.join(dense.select(*keys, _parts(F.col("count") / SHARD_ROWS).alias("parts")), keys, "left")
-    pairs = _dealt(F.coalesce("parts", F.lit(1).cast("long")), F.col("fp"))
-    return dealt.select(*keys, F.explode(pairs).alias("pair"), "fp").select(*keys, "pair.a", "pair.b", "fp")
+    return keyed.select("block", "value", "f.sub", "f.subvalue", "fp")
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(u, v) pairs of distinct fingerprints within ``radius`` bits, enough to connect all that are linked."""
     shards = _sharded(fps.select("fp").distinct(), radius)
-    keys = ["block", "value", "sub", "subvalue", "a", "b"]
-
-    def forest(values: list[int]) -> list[tuple[int, int]]:
-        return [(values[i], values[j]) for i, j in shard_forest(values, radius)]
+    keys = ["block", "value", "sub", "subvalue"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows arrive sorted by shard, so one shard is held at a time.
@@ -195,12 +189,12 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
             for *key, fp in batch.itertuples(index=False, name=None):
                 if key != held_key:
                     if len(held) > 1:
-                        out += forest(held)
+                        out += shard_links(held, radius)
                     held_key, held = key, []
                 held.append(fp & 0xFFFFFFFFFFFFFFFF)
             yield _signed(out)
         if len(held) > 1:
-            yield _signed(forest(held))
+            yield _signed(shard_links(held, radius))
 
     dealt = shards.repartition(parallelism(fps.sparkSession), *keys).sortWithinPartitions(*keys, "fp")
     return dealt.select(*keys, "fp").mapInPandas(run, "u long, v long").distinct()
@@ -276,6 +270,55 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     return keyed.mapInArrow(run, "row struct<no_id:boolean,doc_id:long,text_hash:binary>, name binary, size long, fp binary, bands array<long>")
 
 
+def shard_forest(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Indexes of links that join a shard's components, by a BK-tree.
+
+    A subtree known to lie in one component is left out once the query is part of it,
+    so a large group of near copies costs about one comparison a member.
+    """
+    children: list[dict[int, int]] = []
+    root, label, links = list(range(len(values))), list(range(len(values))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, value in enumerate(values):
+        todo = [0] if i else []
+        while todo:
+            at = todo.pop()
+            far = (values[at] ^ value).bit_count()
+            if far <= radius and find(at) != find(i):
+                root[find(i)] = find(at)
+                links.append((i, at))
+            mine = find(i)
+            for k, child in children[at].items():
+                if far - radius <= k <= far + radius and (label[child] < 0 or find(label[child]) != mine):
+                    todo.append(child)
+        children.append({})
+        at, mine = 0, find(i)
+        while at != i:
+            if label[at] >= 0 and find(label[at]) != mine:
+                label[at] = -1
+            at = children[at].setdefault((values[at] ^ value).bit_count(), i)
+    return links
+
+
+def _dealt(parts: Column, name: Column) -> Column:
+    """Pairs of blocks that one of ``parts`` blocks goes to: any two rows meet in at least one pair."""
+    block = F.pmod(F.xxhash64(name), parts)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: k != block)
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, block).alias("a"), F.greatest(k, block).alias("b")))
+    return F.when(parts > 1, pairs).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
+
+
+def _parts(share: Column) -> Column:
+    """Blocks for a group: two of them make a share of 1 at most."""
+    return F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("long")
+
+
 def similar_links(classes: DataFrame, radius: int) -> DataFrame:
     """(u, v) names of fingerprints within ``radius`` bits that share a band, enough to connect all such.
 
