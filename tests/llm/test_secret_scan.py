@@ -186,3 +186,16 @@ def test_pieces_do_not_change_the_result(monkeypatch):
         assert got[1:] == got[:1] * 3
         found += bool(got[0][0])
     assert found > 200
+
+
+def test_redaction_does_not_depend_on_the_size_of_a_layer(spark):
+    texts = []
+    for size in (200, secret_scan.MAX_INFLATED + 300_000):
+        words, padding = b"a b " * (size // 4), packed(b"a" * size)
+        # Alone, after a layer that takes up any room, and padding, which stays.
+        texts += [(f"see {packed(words + HEX)} end", "see [SECRET] end"), (f"{packed(words)} {packed(b'x ' + HEX)}", f"{packed(words)} [SECRET]"), (f"see {padding} end",) * 2]
+    docs = spark.createDataFrame([(i, text, "x") for i, (text, _) in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secret_scan.redact_documents(docs).collect()
+    assert [(r.doc_id, r.text, r.source) for r in sorted(rows)] == [(i, want, "x") for i, (_, want) in enumerate(texts)]
+    spans = {r.doc_id: r.spans for r in secret_scan.secret_query(docs).collect()}
+    assert all(("hex:" in spans[i]) == ("[SECRET]" in want) for i, (_, want) in enumerate(texts))
