@@ -199,3 +199,32 @@ def test_redaction_does_not_depend_on_the_size_of_a_layer(spark):
     assert [(r.doc_id, r.text, r.source) for r in sorted(rows)] == [(i, want, "x") for i, (_, want) in enumerate(texts)]
     spans = {r.doc_id: r.spans for r in secret_scan.secret_query(docs).collect()}
     assert all(("hex:" in spans[i]) == ("[SECRET]" in want) for i, (_, want) in enumerate(texts))
+
+
+def test_redaction_does_not_depend_on_what_stands_around_a_region(spark):
+    code = b64(b"x" * 25 + b"token=abcdefgh").rstrip("=")
+    lines, texts = f"{code[:38]}\n{code[38:]}", []
+    for after in ("\n", "é", "\x00", "\xa0z", "—"):
+        for filler in (0, 40, 400, 1 << 20):  # little text between control characters, and much
+            raw = ("\x01" * 20 + lines + after + "a b " * (filler // 4)).encode()
+            texts += [(f"see {x} end", "see [SECRET] end") for x in (b64(raw), packed(raw))]
+        texts.append((f"see {lines}{after}", f"see [SECRET]{after}"))
+    texts.append((lines + " z", lines + " z"))  # not the end of a line
+    docs = spark.createDataFrame([(i, text, "x") for i, (text, _) in enumerate(texts)], "doc_id long, text string, source string")
+    assert [r.text for r in sorted(secret_scan.redact_documents(docs).collect())] == [want for _, want in texts]
+
+
+def test_redaction_does_not_depend_on_the_length_of_a_run_of_escapes(spark):
+    def percent(text):
+        return "".join(f"%{c:02X}" for c in text.encode())
+
+    def unicode(text):
+        raw = text.encode("utf-16-be")
+        return "".join(f"\\u{raw[i]:02x}{raw[i + 1]:02x}" for i in range(0, len(raw), 2))
+
+    texts = []
+    for lead in ("", "é", "é" * 6, "é" * 12, "漢" * 6, "漢é😀 ", "x " * 5000 + "é"):  # six signs of two bytes and twelve of one: four signs of text for each
+        for tail in ("", " ", "\n漢", " " + "y " * 5000):
+            texts += [(how(f"{lead}token=abcdef{tail}"), f"{how(lead)}[SECRET]{how(tail)}") for how in (percent, unicode)]
+    docs = spark.createDataFrame([(i, text, "x") for i, (text, _) in enumerate(texts)], "doc_id long, text string, source string")
+    assert [r.text for r in sorted(secret_scan.redact_documents(docs).collect())] == [want for _, want in texts]

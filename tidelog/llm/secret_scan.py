@@ -14,7 +14,8 @@ it, through base64 or compressed data to the whole encoded region.
 Defined cases: null text is empty; empty text has no spans; equal spans of one
 kind are listed once; compressed data of any size is read to its end as a stream, in
 pieces cut only where neither a secret nor an encoded region can cross (``_CUT``), so
-the spans do not depend on its size; a stretch without such a place is held whole.
+the spans do not depend on its size; a stretch without such a place is held whole. What
+base64 spells is read by its printable stretches too, whatever else it holds.
 Content that is compressed itself waits in a file beyond ``MAX_INFLATED`` bytes, and what
 comes before an error counts. ``truncated`` only marks documents with more than
 ``MAX_INFLATED`` bytes inflated: nothing is left out. In compressed data a run of one
@@ -58,8 +59,9 @@ _PERCENT = re.compile(r"(?<![A-Za-z0-9_.~+/=:&?;,@!$'()*\"-])[A-Za-z0-9_.~+/=:&?
 _ESCAPED = re.compile(r"(?<![\x21-\x5b\x5d-\x7e])[\x21-\x5b\x5d-\x7e]*+(?:\\u[0-9A-Fa-f]{4}[\x21-\x5b\x5d-\x7e]*|\\x[0-9A-Fa-f]{2}[\x21-\x5b\x5d-\x7e]*)+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _SIGN = "[A-Za-z0-9+/_-]"
-#: The same over lines: all but the last of 16 signs or more, the last to the end of its line or a quote.
-_WRAPPED = re.compile(rf"{_SIGN}{{16,}}+(?:[\x20\t]*+\r?\n[\x20\t]*+{_SIGN}{{16,}}+(?![^\s=\"'`,;)]))*+(?:[\x20\t]*+\r?\n[\x20\t]*+{_SIGN}++(?==|[\x20\t\r]*(?:\n|\Z)|[\"'`,;)]))?={{0,2}}")
+#: The same over lines: all but the last of 16 signs or more, the last to the end of its line or a quote. Bytes that no
+#: pattern has end it, so a text and its printable stretches have the same regions.
+_WRAPPED = re.compile(rf"{_SIGN}{{16,}}+(?:[\x20\t]*+\r?\n[\x20\t]*+{_SIGN}{{16,}}+(?!(?![=\"'`,;)])[\x21-\x7e]))*+(?:[\x20\t]*+\r?\n[\x20\t]*+{_SIGN}++(?==|[\x20\t\r]*(?![\t\r\x20-\x7e])|[\"'`,;)]))?={{0,2}}")
 _BREAKS = re.compile(r"\s+")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % SHORTEST)
@@ -72,9 +74,9 @@ _CUT = re.compile(
     + rb"(?:[\x20\t]++(?=[\x21-\x7e])|(?<![A-Za-z0-9+/_-]{16})[\x20\t]++)",
     re.IGNORECASE,
 )
-_CONTROL = bytes(sorted(set(range(32)) - set(b"\t\n\r")))
-_ESCAPE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
-_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# Runs of escapes that spell a sign each, and of those of which several may spell one: so each sign of a secret has its place.
+_ESCAPE_RUN = re.compile(r"(?:\\u(?![dD][89A-Fa-f])[0-9A-Fa-f]{4})+|(?:\\u[dD][89A-Fa-f][0-9A-Fa-f]{2})+|(?:\\x[0-9A-Fa-f]{2})+")
+_PERCENT_RUN = re.compile(r"(?:%[0-7][0-9A-Fa-f])+|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 #: Escaped escapes: a sign and its levels, and any other escape.
 _DEEP = {"url": (re.compile(r"%((?:25)+)"), 2, re.compile(r"%(?!25)[0-9A-Fa-f]{2}")), "unicode": (re.compile(r"\\((?:u005[cC])+)"), 5, re.compile(r"\\(?:u(?!005[cC])[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})"))}
 
@@ -208,18 +210,6 @@ def _parts(content: Iterator[bytes]) -> Iterator[str]:
     yield from _stretches(held)
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    """Data as a text; of other data, printable stretches with a secret or a further layer."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        text = ""
-    if text and (len(data) - len(data.translate(None, _CONTROL))) * 8 <= len(text):
-        yield text
-        return
-    yield from _stretches(data)
-
-
 class _Content:
     """A stream with its digest and size; what may be compressed itself is kept."""
 
@@ -277,10 +267,8 @@ def _base64_layers(region: str, contents: dict[bytes, tuple[int, bool]]) -> Iter
             yield text, True
         if opened:
             continue
-        for text in _texts(data):
-            # A text that begins elsewhere than the run counts only for what it holds.
-            if (not shift and len(run) % 4 != 1) or _holds(text):
-                yield text, False
+        for text in _stretches(data):
+            yield text, False
 
 
 def regions(text: str) -> Iterator[tuple[int, int, str]]:
@@ -329,7 +317,7 @@ class _Layer:
 
 
 def worklist(text: str) -> tuple[list[tuple[int, int, str]], int, bool]:
-    """Spans from decoded layers, mapped to the document; layers (of compressed data those with a secret or a further layer); whether over ``MAX_INFLATED`` bytes were inflated."""
+    """Spans from decoded layers, mapped to the document; layers (of base64 and compressed data those with a secret or a further layer); whether over ``MAX_INFLATED`` bytes were inflated."""
     todo = [_Layer(text, None)]
     seen: set[bytes] = set()
     spans: set[tuple[int, int, str]] = set()
